@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, types as T
 
 CHUNK = 1 << 20
 U = np.uint64
@@ -40,6 +41,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def widened(df: DataFrame, **more: str) -> T.StructType:
+    """The schema of ``df`` and more columns behind it."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in more.items())])
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and the n+1 offsets; a null counts as empty."""
     array = array.cast(pa.large_binary() if pa.types.is_binary(array.type) else pa.large_string())

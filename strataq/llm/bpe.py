@@ -13,13 +13,14 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strataq.llm.batch import U, HashIndex, SpanCache, chunks, column, flat_ranges, mix, prefix_hash, span_hash, text_bytes
+from strataq.llm.batch import U, HashIndex, SpanCache, chunks, column, flat_ranges, mix, prefix_hash, span_hash, text_bytes, widened
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: White space as regular expressions see it (Unicode White_Space).
@@ -298,9 +299,9 @@ def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "i
     column already named ``ids`` is replaced.  The file at ``vocab_path`` is read
     on the driver and broadcast (its size is fixed).
     """
-    spec = df.sparkSession.sparkContext.broadcast(read_file(vocab_path))
+    content = read_file(vocab_path)
+    spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
     df = df.drop(ids)
-    key = hash((vocab_path, spec.id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = worker(key, lambda: spec.value)
@@ -312,7 +313,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "i
             made = pa.ListArray.from_arrays(pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, ids])
 
-    return df.mapInArrow(run, df.schema.add(ids, "array<int>"))
+    return df.mapInArrow(run, widened(df, **{ids: "array<int>"}))
 
 
 def bpe_decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -321,9 +322,9 @@ def bpe_decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "de
     Null ids give null; bytes that are no UTF-8 become U+FFFD.  Special tokens
     are kept.  A column already named like the result is replaced.
     """
-    spec = df.sparkSession.sparkContext.broadcast(read_file(vocab_path))
+    content = read_file(vocab_path)
+    spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
     df = df.drop(text)
-    key = hash((vocab_path, spec.id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, _, _ = worker(key, lambda: spec.value)
@@ -331,13 +332,13 @@ def bpe_decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "de
             out = [None if x is None else v.decode(np.array(x, np.int64)).tobytes().decode("utf-8", "replace") for x in column(b, ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text])
 
-    return df.mapInArrow(run, df.schema.add(text, "string"))
+    return df.mapInArrow(run, widened(df, **{text: "string"}))
 
 
 def bpe_digests(df: DataFrame, vocab_path: str, key_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every text, decodes the ids again and returns a digest of both, so that the ids need not leave the worker."""
-    spec = df.sparkSession.sparkContext.broadcast(read_file(vocab_path))
-    key = hash((vocab_path, spec.id))
+    content = read_file(vocab_path)
+    spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = worker(key, lambda: spec.value)

@@ -11,6 +11,7 @@ ones stay too.  The changed leaves and the sums above them are then set anew.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,8 +123,8 @@ def edited_token_counts(df: DataFrame, vocab_path: str, redactions=REDACTIONS, k
     Returns doc_id, n_tokens, n_edits, n_tokens_after, n_pretokens and
     n_reencoded (pre-tokens encoded anew).  A null text counts as empty: zeros.
     """
-    spec = df.sparkSession.sparkContext.broadcast(read_file(vocab_path))
-    key = hash((vocab_path, spec.id))
+    content = read_file(vocab_path)
+    spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
     names = ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pretokens", "n_reencoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

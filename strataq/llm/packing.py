@@ -179,8 +179,8 @@ def pack(df: DataFrame, vocab_path: str, width: int = 4096, end_id: int = 2, sen
     ``sentence`` and ``inside`` are the penalties of a cut at a sentence's end and
     within a sentence, in ids of padding.
     """
-    spec = df.sparkSession.sparkContext.broadcast(read_file(vocab_path))
-    key = hash((vocab_path, spec.id))
+    content = read_file(vocab_path)
+    spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = word_tables(key, lambda: spec.value)
