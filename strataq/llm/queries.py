@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BYTE_VOCAB, WORD_VOCAB = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -19,12 +19,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(parts: int) -> Column:
+    """crc32 of the key as text, modulo ``parts``; rows are told apart by it for training and testing."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % parts
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataq.llm.bpe import bpe_digests
 
     return bpe_digests(table(spark, sf_dir, "documents"), vocab_file(BYTE_VOCAB))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataq.llm.langid import identify_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(4) == 2)
+    out = identify_language(docs.drop("lang"), docs.filter(~F.col("held_out")))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataq.llm.nbsvm import quality_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(5) == 0)
+    labels = table(spark, sf_dir, "labels").filter(remainder(5) != 0)
+    out = quality_scores(docs, docs, labels)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataq.llm.packing import pack
 
@@ -39,6 +61,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_language": op4_language,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op9_token_counts": op9_token_counts,
 }
