@@ -30,6 +30,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), vocab_file(BYTE_VOCAB))
 
 
+def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataq.llm.rules import BASE, apply_rules, fit_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = fit_rules(docs, table(spark, sf_dir, "labels"))
+    return apply_rules(docs, rules).select("doc_id", *BASE, "base_failed", "kept", "rule")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataq.llm.langid import identify_language
 
@@ -38,6 +46,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataq.llm.mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataq.llm.nbsvm import quality_scores
 
@@ -59,12 +73,38 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_token_counts(table(spark, sf_dir, "documents"), vocab_file(BYTE_VOCAB))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataq.llm.sharding import hilbert_shards
+
+    out = hilbert_shards(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_rules": op2_rules,
     "op4_language": op4_language,
+    "op5_top_k": op5_top_k,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored
+        QUALIFY rank <= 5
+    """,
+}
