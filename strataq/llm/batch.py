@@ -175,6 +175,19 @@ def flat_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, counts)
 
 
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of rows in which all columns stay the same."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], n)
+
+
 class SpanCache:
     """Ids of byte spans, worked out once a span: hash -> a run in one flat store.
 

@@ -67,6 +67,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocab_file(WORD_VOCAB))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataq.llm.suffixes import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataq.llm.edits import edited_token_counts
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_top_k": op5_top_k,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_repeats": op8_repeats,
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
 }
