@@ -38,6 +38,12 @@ def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, rules).select("doc_id", *BASE, "base_failed", "kept", "rule")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataq.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataq.llm.langid import identify_language
 
@@ -89,6 +95,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_rules": op2_rules,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_language": op4_language,
     "op5_top_k": op5_top_k,
     "op6_quality": op6_quality,
