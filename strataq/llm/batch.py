@@ -208,6 +208,8 @@ class SpanCache:
         """Each span's number in the store."""
         if self.index.n > self.most:
             self.reset()
+        if not len(hashes):
+            return np.zeros(0, np.int32)
         hashes = np.maximum(hashes, U(1))
         got = self.index.find(hashes)
         miss = np.flatnonzero(got < 0)
@@ -229,7 +231,10 @@ class SpanCache:
             got[miss] = (n + back).astype(np.int32)
         return got
 
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.counts[numbers].astype(np.int64)
+
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all these spans in a row, and how many each has."""
-        counts = self.counts[numbers].astype(np.int64)
+        counts = self.sizes(numbers)
         return self.ids[flat_ranges(self.starts[numbers], counts)], counts

@@ -57,7 +57,7 @@ def encode_text(tables: tuple, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     _, pre, cache = tables
     data = np.frombuffer(text, np.uint8)
     s, e, _ = pre.spans(data, np.array([0, len(data)]))
-    return s, cache.counts[cache.find(data, span_hash(prefix_hash(data), s, e), s, e)] if len(s) else np.zeros(0, np.int64)
+    return s, cache.sizes(cache.find(data, span_hash(prefix_hash(data), s, e), s, e))
 
 
 def apply_edits(tables: tuple, text: bytes, starts: np.ndarray, tree: TokenTree, edits: list[tuple[int, int, bytes]]) -> int:
@@ -137,7 +137,7 @@ def edited_token_counts(df: DataFrame, vocab_path: str, redactions=REDACTIONS, k
             for i, j in chunks(at):
                 part, offsets = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 s, e, docs = pre.spans(part, offsets)
-                counts = cache.counts[cache.find(part, span_hash(prefix_hash(part), s, e), s, e)] if len(s) else np.zeros(0, np.int64)
+                counts = cache.sizes(cache.find(part, span_hash(prefix_hash(part), s, e), s, e))
                 raw = part.tobytes()
                 for d in range(j - i):
                     own = raw[offsets[d] : offsets[d + 1]]
