@@ -25,11 +25,11 @@ place one entry for each task.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from strataq.llm.batch import U, _Powers, chunks, column, flat_ranges, mix, prefix_hash, runs, span_hash, text_bytes
 
@@ -347,8 +347,8 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Returns all rows as (doc_id, text, row, spans): which byte spans of each text to remove (null: none).
+def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", text: str = "text", pass_through: Sequence[str] = ()) -> DataFrame:
+    """Returns all rows as (doc_id, text, row, found, _more): which byte spans of each text to remove (null: none), and a struct of the columns to pass through.
 
     Rows with a null key take part in nothing and keep their bytes; null texts are
     empty.  Rows of equal keys never remove from each other.  ``width`` is at least 40.
@@ -358,7 +358,12 @@ def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
     spark = df.sparkSession
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = 4 * places
-    docs = df.select(F.col(key_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # No alias where none is needed: with one, the planner takes the two exchanges of the texts for different ones.
+    key = F.col("doc_id") if key_column == "doc_id" and df.schema["doc_id"].dataType == T.LongType() else F.col(key_column).cast("long").alias("doc_id")
+    docs = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    more = [F.struct(*[F.col(c) for c in pass_through]).alias("_more")] if pass_through else []
+    extra = ["_more"] if pass_through else []
+    full = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"), *more).withColumn("row", F.xxhash64("text"))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Survey(ranges)
@@ -375,7 +380,6 @@ def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
 
     known = docs.mapInArrow(survey, SURVEY).repartition(places, "range").mapInArrow(settle_survey, "doc_id long, hashes binary")
     known = known.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    keyed = docs.withColumn("row", F.xxhash64("text"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Contexts(ranges, width)
@@ -400,11 +404,13 @@ def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
         yield c.rows()
 
     # A join of the texts with what is known; the same exchange of the texts serves the last join.
-    asking = keyed.repartition(places, "doc_id").join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "row", "text", "hashes")
+    dealt = full.filter(F.col("doc_id").isNotNull()).repartition(places, "doc_id")
+    asking = dealt.join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "row", "text", "hashes", *extra)
     found = asking.mapInArrow(contexts, CONTEXTS).repartition(places, "range").mapInArrow(settle_contexts(width), "doc_id long, row long, spans binary")
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("row", "spans")).alias("found"))
-    out = keyed.repartition(places, "doc_id").join(found.hint("shuffle_hash"), "doc_id", "left")
-    return out.select("doc_id", "text", "row", "found")
+    out = dealt.join(found.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "row", "found", *extra)
+    alone = full.filter(F.col("doc_id").isNull())
+    return out.unionByName(alone.withColumn("found", F.lit(None).cast(out.schema["found"].dataType)).select(*out.columns))
 
 
 def kept_text(spans: np.ndarray, text: bytes) -> bytes:
@@ -420,8 +426,8 @@ def own_spans(found: list | None, row: int) -> np.ndarray:
     return merge_spans(np.concatenate(mine)) if mine else np.zeros((0, 2), np.int32)
 
 
-def remove_repeats(df: DataFrame, width: int = 50, key_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Returns (doc_id, text, n_removed) of every row, with the repeated bytes cut out.
+def remove_repeats(df: DataFrame, width: int = 50, key_column: str = "doc_id", text: str = "text", pass_through: Sequence[str] = ()) -> DataFrame:
+    """Returns (doc_id, text, n_removed) and the columns to pass through of every row, with the repeated bytes cut out.
 
     What is left of a character that loses some of its bytes is dropped too.
     """
@@ -434,9 +440,12 @@ def remove_repeats(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
                 raw = t.encode()
                 texts.append(kept_text(spans, raw).decode("utf-8", "ignore") if len(spans) else t)
                 removed.append(int((spans[:, 1] - spans[:, 0]).sum()))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_removed"])
+            extra = [column(b, "_more")] if pass_through else []
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), *extra], ["doc_id", "text", "n_removed", "_more"][: 3 + len(extra)])
 
-    return repeated_spans(df, width, key_column, text).mapInArrow(run, "doc_id long, text string, n_removed long")
+    spans = repeated_spans(df, width, key_column, text, pass_through)
+    schema = T.StructType([*T._parse_datatype_string("doc_id long, text string, n_removed long").fields, *([spans.schema["_more"]] if pass_through else [])])
+    return spans.mapInArrow(run, schema).select("doc_id", "text", "n_removed", *[F.col(f"_more.`{c}`").alias(c) for c in pass_through])
 
 
 def repeat_digests(df: DataFrame, width: int = 50, key_column: str = "doc_id", text: str = "text") -> DataFrame:
