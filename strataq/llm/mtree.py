@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from strataq.llm.batch import column
 from strataq.llm.shared import materialise
 
-PAGE = 64
+PAGE = 256
+EXACT = 1 << 23  # below this, products of up to 127 components are exact as doubles too
 
 
 def quantise(embedding: list | None) -> np.ndarray | None:
@@ -64,6 +65,8 @@ class MTree:
         self.ids, self.x = ids[order], x[order]
         f = self.x.astype(np.float64)
         square = (f * f).sum(axis=1)
+        self.exact = len(f) > 0 and f.shape[1] < 128 and float(np.abs(f).max()) < EXACT
+        self.plain = f if self.exact else self.x
         self.most = float(square.max()) if len(f) else 0.0
         self.y = np.concatenate([f, np.sqrt(np.maximum(0.0, self.most - square))[:, None]], axis=1)
         self.slack = 1e-6 * (1.0 + np.sqrt(self.most))
@@ -78,7 +81,7 @@ class MTree:
         away = (lambda r: np.zeros(len(r)) if parent is None else self._distance(r, self.y[parent]))
         if len(rows) <= PAGE:
             return Node(rows, away(rows))
-        pivots = rng.choice(rows, min(16, len(rows) // (PAGE // 2)), replace=False)
+        pivots = rng.choice(rows, max(2, min(32, len(rows) // (PAGE // 2))), replace=False)
         near = np.stack([self._distance(rows, self.y[p]) for p in pivots], axis=1)
         owner = near.argmin(axis=1)
         if (owner == owner[0]).all():  # equal vectors: pages in order
@@ -90,6 +93,8 @@ class MTree:
 
     def search(self, own: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
         """The k best (score, id) with score >= floor, without the id ``own``; ties to smaller ids."""
+        asked = q.astype(np.float64) if self.exact and len(q) and float(np.abs(q).max()) < EXACT else q
+        plain = self.plain if asked is not q else self.x
         qf = np.append(q.astype(np.float64), 0.0)
         shift = float(qf @ qf) + self.most
         reach = lambda score: np.sqrt(max(0.0, shift - 2.0 * score)) + self.slack  # noqa: E731  distance at which this score lies
@@ -109,7 +114,7 @@ class MTree:
             rows = node.rows[keep]
             self.computed += len(rows)
             if node.children is None:
-                scores = self.x[rows] @ q
+                scores = plain[rows] @ asked
                 low = floor if len(best) < k else max(floor, best[0][0])
                 for i in np.flatnonzero(scores >= low):
                     item = (int(scores[i]), -int(self.ids[rows[i]]))
