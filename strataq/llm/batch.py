@@ -48,7 +48,7 @@ def widened(df: DataFrame, **more: str) -> T.StructType:
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and the n+1 offsets; a null counts as empty."""
-    array = array.cast(pa.large_binary() if pa.types.is_binary(array.type) else pa.large_string())
+    array = array.cast(pa.large_binary() if pa.types.is_binary(array.type) or pa.types.is_large_binary(array.type) else pa.large_string())
     if array.null_count:
         array = pc.fill_null(array, b"" if pa.types.is_large_binary(array.type) else "")
     _, offsets, data = array.buffers()

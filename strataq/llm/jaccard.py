@@ -71,7 +71,11 @@ def set_numbers(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def each_chunk(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    data, at = text_bytes(column(batch, text))
+    return array_chunks(column(batch, text))
+
+
+def array_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    data, at = text_bytes(texts)
     for i, j in chunks(at):
         sets, o = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i])
         yield i, j, sets, o, set_numbers(sets, o)
@@ -276,16 +280,34 @@ def long_lists(packed: DataFrame) -> DataFrame:
     return packed.select("x").mapInArrow(run, "list long, number long, n long, p long")
 
 
+def squeezed(df: DataFrame) -> DataFrame:
+    """(number, packed, size): compressed texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for b in batches:
+            data, at = text_bytes(column(b, "text"))
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([column(b, "number"), pa.array([codec.compress(raw[i:j], asbytes=True) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()), pa.array(np.diff(at))], ["number", "packed", "size"])
+
+    return df.select("number", "text").mapInArrow(run, "number long, packed binary, size long")
+
+
+def unsqueezed(batch: pa.RecordBatch, packed: str, size: str) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([codec.decompress(x, n, asbytes=True) for x, n in zip(column(batch, packed).to_pylist(), column(batch, size).to_pylist(), strict=True)], pa.large_binary())
+
+
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Adds ``link`` to pairs: the exact test on whole sets."""
-    both = pairs.join(texts.select(F.col("number").alias("a"), F.col("text").alias("_ta")), "a").join(texts.select(F.col("number").alias("b"), F.col("text").alias("_tb")), "b")
+    both = pairs.join(texts.toDF("a", "_pa", "_na"), "a").join(texts.toDF("b", "_pb", "_nb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = []
-            for name in ("_ta", "_tb"):
+            for x in "ab":
                 out: list[np.ndarray] = []
-                for i, j, s, o, _ in each_chunk(b, name):
+                for i, j, s, o, _ in array_chunks(unsqueezed(b, f"_p{x}", f"_n{x}")):
                     out += [s[o[k] : o[k + 1]] for k in range(j - i)]
                 sets.append(out)
             link = []
@@ -295,7 +317,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 link.append(100 * same >= 80 * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([column(b, "a"), column(b, "b"), pa.array(link, pa.bool_())], ["a", "b", "link"])
 
-    return both.select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long, link boolean")
+    return both.select("a", "b", "_pa", "_na", "_pb", "_nb").mapInArrow(run, "a long, b long, link boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -390,7 +412,8 @@ def near_duplicates(df: DataFrame, key_column: str = "doc_id", text: str = "text
     first = base.filter("number IS NOT NULL AND doc_id IS NOT NULL").groupBy("number").agg(F.min(F.struct("doc_id", "row")).alias("_at"))
     needed = pairs.select(F.col("a").alias("number")).union(pairs.select("b")).union(lists.select("number")).distinct()
     at = needed.join(first, "number").select("number", F.col("_at.doc_id").alias("doc_id"), F.col("_at.row").alias("row"))
-    texts = materialise(usable.join(at, ["doc_id", "row"]).select("number", "text").dropDuplicates(["number"]))
+    # Repeated rows lie together already, so that no further exchange is needed to keep one.
+    texts = materialise(squeezed(usable.join(at, ["doc_id", "row"]).dropDuplicates(["doc_id", "row", "number"])))
     known = materialise(compared(pairs, texts))
     if not lists.isEmpty():
         found = components(known.filter("link"))

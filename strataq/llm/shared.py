@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes a result to the shared folder and cuts its lineage; Spark removes it when nothing refers to it any more, if the session cleans checkpoints."""
     checkpoint_folder(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
