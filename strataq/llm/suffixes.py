@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strataq.llm.batch import U, _Powers, chunks, column, flat_ranges, mix, prefix_hash, runs, span_hash, text_bytes
+from strataq.llm.shared import materialise, release
 
 GRAM = 32
 FULL = U(0xFFFFFFFFFFFFFFFF)
@@ -211,11 +212,12 @@ class Contexts:
         ask[runs(h, c, d, row, pos)[0]] = True  # a repeated row asks once
         ask &= ~gone
         h, d, row, pos, lens, begin = (x[ask] for x in (h, d, row, pos, lens, begin))
+        codec = pa.Codec("zstd", 1)
         edges = np.searchsorted(_by_range(h >> U(16), self.ranges), np.arange(self.ranges + 1))
         for r in range(self.ranges):
             i, j = int(edges[r]), int(edges[r + 1])
             if i < j:
-                out.append((r, None, None, planes(h[i:j]), planes(d[i:j].view(U)), planes(row[i:j].view(U)), planes((pos[i:j] << 16 | lens[i:j]).astype(U)), text[flat_ranges(begin[i:j], lens[i:j])].tobytes()))
+                out.append((r, None, None, planes(np.diff(h[i:j], prepend=U(0))), planes(d[i:j].view(U)), planes(row[i:j].view(U)), planes((pos[i:j] << 16 | lens[i:j]).astype(U)), codec.compress(text[flat_ranges(begin[i:j], lens[i:j])].tobytes(), asbytes=True)))
         return block5(out)
 
 
@@ -279,6 +281,7 @@ def settle_contexts(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple] = []
+        codec = pa.Codec("zstd")
         for b in batches:
             out = []
             for i, k in enumerate(column(b, "doc_id").to_pylist()):
@@ -287,7 +290,8 @@ def settle_contexts(width: int):
                     out.append((k, b.column(2)[i].as_py(), a))
                     continue
                 packed = unplanes(b.column(6)[i].as_py()).astype(np.int64)
-                got.append((unplanes(a), unplanes(b.column(4)[i].as_py()).view(np.int64), unplanes(b.column(5)[i].as_py()).view(np.int64), packed >> 16, packed & 0xFFFF, np.frombuffer(b.column(7)[i].as_py(), np.uint8)))
+                lens = packed & 0xFFFF
+                got.append((np.cumsum(unplanes(a), dtype=U), unplanes(b.column(4)[i].as_py()).view(np.int64), unplanes(b.column(5)[i].as_py()).view(np.int64), packed >> 16, lens, np.frombuffer(codec.decompress(b.column(7)[i].as_py(), int(lens.sum()), asbytes=True), np.uint8)))
             if out:
                 yield spans_batch(out)
         if not got:
@@ -363,7 +367,7 @@ def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
     docs = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     more = [F.struct(*[F.col(c) for c in pass_through]).alias("_more")] if pass_through else []
     extra = ["_more"] if pass_through else []
-    full = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"), *more).withColumn("row", F.xxhash64("text"))
+    full = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"), *more).withColumn("row", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))  # tells texts of one key apart
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Survey(ranges)
@@ -379,7 +383,9 @@ def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
         yield s.rows()
 
     known = docs.mapInArrow(survey, SURVEY).repartition(places, "range").mapInArrow(settle_survey, "doc_id long, hashes binary")
-    known = known.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    # Written, so that the shuffle files of the first step can go before those of the second come.
+    known = materialise(known.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")))
+    release(spark)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Contexts(ranges, width)
