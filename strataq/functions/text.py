@@ -162,7 +162,7 @@ def stream_of(kind_: Column) -> Column:
 
 def title(text: Column, kind_: Column) -> Column:
     """The first line that is not blank, cut at 90 characters."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\x0B\f\r]"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\x0B\f\r]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.left(F.get(lines, F.lit(0)), F.lit(90)), F.concat(kind_, F.lit(" memory")))
 
 

@@ -61,8 +61,8 @@ def compact_summary(moments: DataFrame) -> DataFrame:
 
 def skills(texts: DataFrame) -> DataFrame:
     """name and steps of a skill's text: the first line's first sentence without its marker; bulleted and numbered lines, else the whole text."""
-    lines = F.filter(F.transform(F.split("text", r"\r\n|[\n\x0B\f\r]"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", r"\r\n|[\n\x0B\f\r]"), lambda x: F.trim(x)), lambda x: x != "")
     first = F.regexp_replace(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), MARKER, "")
     name = F.trim(F.get(F.split(first, r"(?<=[.!?])\s+", 2), F.lit(0)))
-    steps = F.transform(F.filter(lines, lambda x: x.rlike(MARKER + ".+$")), lambda x: F.trim(F.regexp_replace(x, MARKER, "")))
+    steps = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_extract(x, MARKER + "(.+)$", 1))), lambda x: x != "")
     return texts.withColumn("name", name).withColumn("steps", F.when(F.size(steps) > 0, steps).otherwise(F.array(F.trim("text")))).filter("name <> ''")
