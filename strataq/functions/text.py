@@ -247,11 +247,15 @@ def simhash(text: Column, bits: int = 32) -> Column:
     tokens = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda x: F.length(x) >= 3)
     tokens = F.when(F.size(tokens) == 0, F.array(text)).otherwise(tokens)
     hashes = F.transform(tokens, lambda x: F.conv(F.left(F.md5(x), F.lit(8)), 16, 10).cast("long"))
-    bit = lambda i: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.shiftrightunsigned(h, i).bitwiseAND(1) == 1, 1).otherwise(-1))
-    total = F.lit(0).cast("long")
-    for i in range(bits):
-        total = total + F.when(bit(i) >= 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    return total
+
+    def votes(own: Column) -> Column:
+        bit = lambda i: F.aggregate(own, F.lit(0), lambda a, h: a + F.when(F.shiftrightunsigned(h, i).bitwiseAND(1) == 1, 1).otherwise(-1))
+        total = F.lit(0).cast("long")
+        for i in range(bits):
+            total = total + F.when(bit(i) >= 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        return total
+
+    return F.get(F.transform(F.array(hashes), votes), F.lit(0))  # a one-element array binds the hashes once
 
 
 def hamming(a: Column, b: Column) -> Column:
