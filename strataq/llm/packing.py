@@ -133,9 +133,10 @@ class Packer:
             cost += [np.full(len(ends), self.sentence), [0.0]]
             at += len(ids)
         p, c = np.concatenate(points), np.concatenate(cost)
-        gaps = np.flatnonzero(np.diff(p) > self.width)
-        if len(gaps):  # a sentence longer than a sequence
-            more = np.concatenate([np.arange(p[g] + self.width, p[g + 1], self.width) for g in gaps])
+        step = max(1, min(64, self.width // 8))
+        gaps = np.flatnonzero(np.diff(p) > 2 * step)
+        if len(gaps):  # long sentences can be cut too, at a higher penalty
+            more = np.concatenate([np.arange(p[g] + step, p[g + 1], step) for g in gaps])
             p, c = np.concatenate([p, more]), np.concatenate([c, np.full(len(more), self.inside)])
             order = np.argsort(p)
             p, c = p[order], c[order]
