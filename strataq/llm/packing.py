@@ -133,7 +133,7 @@ class Packer:
             cost += [np.full(len(ends), self.sentence), [0.0]]
             at += len(ids)
         p, c = np.concatenate(points), np.concatenate(cost)
-        step = max(1, min(64, self.width // 8))
+        step = max(1, self.width // 64)
         gaps = np.flatnonzero(np.diff(p) > 2 * step)
         if len(gaps):  # long sentences can be cut too, at a higher penalty
             more = np.concatenate([np.arange(p[g] + step, p[g + 1], step) for g in gaps])

@@ -272,7 +272,7 @@ def test_packing(docs, rows, empty):
     ids = {}
     for r in rows:
         ids.setdefault(r[0], []).append([*t.encode(r[1] or "", add_special_tokens=False).ids, 2])
-    pieces = packing.pack(docs, vocab_file(WORD_VOCAB), width=512, block=4000).collect()
+    pieces = packing.pack(docs, vocab_file(WORD_VOCAB), width=512, sentence=0.25, inside=3.0, block=4000).collect()
     seqs, parts = defaultdict(list), defaultdict(list)
     for p in pieces:
         seqs[p["sequence_id"]].append((p["offset"], p["length"]))
