@@ -320,24 +320,52 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "_pa", "_na", "_pb", "_nb").mapInArrow(run, "a long, b long, link boolean")
 
 
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins a place's edges to stars around least vertices; tells which edges are new."""
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in batches:
+        u.append(column(b, "u").to_numpy())
+        v.append(column(b, "v").to_numpy())
+    u, v = np.concatenate(u), np.concatenate(v)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while (y := above.get(root, root)) != root:
+            root = y
+        while (y := above.get(x, x)) != root and y != x:
+            above[x] = root
+            x = y
+        return root
+
+    edges = set(zip(u.tolist(), v.tolist(), strict=True))
+    for x, y in edges:
+        p, q = top(x), top(y)
+        if p != q:
+            above[max(p, q)] = min(p, q)
+    stars = [(x, top(x)) for x in {x for e in edges for x in e}]
+    rows = [(x, r, (x, r) not in edges) for x, r in stars if x != r]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 3
+    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], ["u", "v", "changed"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(number, component) of every end of an edge: the least number that edges reach.
 
-    Large and small stars by turns; every pass is grouped minima and joins, and
+    Each edge goes to the places of both its ends, where all edges that have come
+    together become stars around their least vertex.  When no place makes a new
+    edge, every vertex points to its component's least one.  One exchange a pass;
     edges are written to the shared folder between passes.
     """
-    e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    places = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = materialise(small)
-        # Done once no vertex is both above one and below another, and edges stay the same.
-        if now.select("u").join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and now.count() == now.select("u").distinct().count():
-            return now.select(F.col("u").alias("number"), F.col("v").alias("component")).union(now.select(F.col("v").alias("number"), F.col("v").alias("component")).distinct())
-        e = now
+        dealt = e.select(F.explode(F.array("u", "v")).alias("key"), "u", "v").repartition(places, "key")
+        e = materialise(dealt.mapInArrow(contract, "u long, v long, changed boolean"))
+        if e.filter("changed").isEmpty():
+            break
+    stars = e.select("u", "v").union(e.select("v", "v"))
+    return stars.toDF("number", "component").distinct()
 
 
 def with_components(lists: DataFrame, found: DataFrame) -> DataFrame:
