@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def release(spark: SparkSession) -> None:
     """Has Spark remove the shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
     gc.collect()
+    time.sleep(0.5)  # Python's finalizers reach the JVM from a thread of their own
     spark.sparkContext._jvm.System.gc()
 
 
