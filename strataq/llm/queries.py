@@ -106,6 +106,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+            FROM w
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), c AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 80 * (x.n + y.n - same)
+        ), e AS (
+            SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), r AS (
+            SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a
+        ), m AS (
+            SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id
+    """,
+    "op8_repeats": """
+        WITH b AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), p AS (
+            SELECT doc_id, u.p AS p, u.s AS s
+            FROM (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2), lambda i: {'p': i, 's': substr(h, 2 * i + 1, 100)})) AS u FROM b)
+        ), f AS (
+            SELECT s, min(doc_id) AS d FROM p WHERE length(s) = 100 GROUP BY s
+        ), k AS (
+            SELECT p.doc_id, p.p, left(p.s, 2) AS byte, max(CASE WHEN f.d < p.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+            FROM p LEFT JOIN f ON f.s = p.s
+        ), g AS (
+            SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM k
+        ), t AS (
+            SELECT doc_id, count(*) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (gone = 1 AND before = 0) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (gone = 0) AS kept
+            FROM g GROUP BY doc_id
+        )
+        SELECT b.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM b LEFT JOIN t ON t.doc_id = b.doc_id
+    """,
     "op5_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
