@@ -20,10 +20,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, wait: float = 0.0) -> None:
     """Has Spark remove the shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
     gc.collect()
-    time.sleep(0.5)  # Python's finalizers reach the JVM from a thread of their own
+    time.sleep(wait)  # what Python has just let go reaches the JVM from a thread that looks once a second
     spark.sparkContext._jvm.System.gc()
 
 

@@ -385,7 +385,7 @@ def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
     known = docs.mapInArrow(survey, SURVEY).repartition(places, "range").mapInArrow(settle_survey, "doc_id long, hashes binary")
     # Written, so that the shuffle files of the first step can go before those of the second come.
     known = materialise(known.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")))
-    release(spark)
+    release(spark, wait=2.0)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Contexts(ranges, width)
