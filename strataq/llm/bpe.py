@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strataq.llm.batch import U, HashIndex, SpanCache, chunks, column, flat_ranges, mix, prefix_hash, span_hash, text_bytes, widened
+from strataq.llm.shared import bound_batches
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: White space as regular expressions see it (Unicode White_Space).
@@ -299,6 +300,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "i
     column already named ``ids`` is replaced.  The file at ``vocab_path`` is read
     on the driver and broadcast (its size is fixed).
     """
+    bound_batches(df.sparkSession)
     content = read_file(vocab_path)
     spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
     df = df.drop(ids)
@@ -322,6 +324,7 @@ def bpe_decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "de
     Null ids give null; bytes that are no UTF-8 become U+FFFD.  Special tokens
     are kept.  A column already named like the result is replaced.
     """
+    bound_batches(df.sparkSession)
     content = read_file(vocab_path)
     spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
     df = df.drop(text)
@@ -337,6 +340,7 @@ def bpe_decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "de
 
 def bpe_digests(df: DataFrame, vocab_path: str, key_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every text, decodes the ids again and returns a digest of both, so that the ids need not leave the worker."""
+    bound_batches(df.sparkSession)
     content = read_file(vocab_path)
     spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataq.llm.batch import U, chunks, column, flat_ranges, mix, prefix_hash, runs, span_hash, text_bytes, word_spans
-from strataq.llm.shared import materialise
+from strataq.llm.shared import bound_batches, materialise
 from strataq.llm.suffixes import planes, unplanes
 
 WORDS, SKETCH_BITS, SKETCH_BLOCKS, LONG = 5, 21, 64, 32
@@ -181,7 +181,7 @@ def index_entries(docs: DataFrame, classes, ranges: int) -> DataFrame:
                     count += p
                 if len(seen) > 500_000:
                     seen.clear()
-                if count > 2_000_000:
+                if count > 1_000_000:
                     yield flush()
         yield flush()
 
@@ -427,6 +427,7 @@ def near_duplicates(df: DataFrame, key_column: str = "doc_id", text: str = "text
     Rows of one key share a component if their sets do.
     """
     spark: SparkSession = df.sparkSession
+    bound_batches(spark)
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = buckets = 4 * places
     docs = df.select(F.col(key_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))

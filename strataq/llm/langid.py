@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strataq.llm.batch import chunks, column, text_bytes, widened
+from strataq.llm.shared import bound_batches
 
 ORDER, SYMBOLS, SCALE = 3, 48, 1024.0
 UNKNOWN = "und"
@@ -152,6 +153,7 @@ def identify_language(df: DataFrame, train: DataFrame, per_language: int = 400,
     is the posterior of the language under equal priors.  Columns of these names
     are replaced.
     """
+    bound_batches(df.sparkSession)
     rows = training_sample(train, per_language, most_bytes, key_column, text, lang)
     frozen, key = df.sparkSession.sparkContext.broadcast(Trainer(rows).frozen()), uuid.uuid4().hex
     df = df.drop("lang_pred", "score")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strataq.llm.batch import U, chunks, column, prefix_hash, span_hash, text_bytes, widened, word_spans
+from strataq.llm.shared import bound_batches
 
 BYTE_BITS, SHAPE_BITS = 17, 15
 DIMS = (1 << BYTE_BITS) + (1 << SHAPE_BITS)
@@ -170,6 +171,7 @@ def quality_scores(df: DataFrame, train: DataFrame, labels: DataFrame, most_rows
     names, none over ``most_bytes``.  A null text counts as empty and gets the
     score of a text without features.  A column named ``score`` is replaced.
     """
+    bound_batches(df.sparkSession)
     rows, y = labelled_features(train, labels, most_rows, most_bytes, key_column, text, label)
     model = df.sparkSession.sparkContext.broadcast(fit(rows, y))
     df = df.drop("score")

@@ -32,3 +32,14 @@ def materialise(df: DataFrame) -> DataFrame:
     checkpoint_folder(df.sparkSession)
     release(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark hand Python at most ``rows`` rows at once, unless the session sets a number of its own.
+
+    Texts are long: the default of 10 000 rows makes batches of tens of megabytes,
+    held in the JVM and in Python, in and out.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strataq.llm.batch import U, _Powers, chunks, column, flat_ranges, mix, prefix_hash, runs, span_hash, text_bytes
-from strataq.llm.shared import materialise, release
+from strataq.llm.shared import bound_batches, materialise, release
 
 GRAM = 32
 FULL = U(0xFFFFFFFFFFFFFFFF)
-FLUSH_ANCHORS, FLUSH_DOCS, FLUSH_BYTES = 4_000_000, 60_000, 64 << 20
+FLUSH_ANCHORS, FLUSH_DOCS, FLUSH_BYTES = 1_500_000, 60_000, 40 << 20
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -360,6 +360,7 @@ def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
     if not GRAM + 8 <= width <= GRAM + 30:
         raise ValueError(f"width must lie between {GRAM + 8} and {GRAM + 30}")
     spark = df.sparkSession
+    bound_batches(spark)
     places = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = 4 * places
     # No alias where none is needed: with one, the planner takes the two exchanges of the texts for different ones.
