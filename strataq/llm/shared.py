@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,18 +19,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def release(spark: SparkSession, wait: float = 0.0) -> None:
-    """Has Spark remove the shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes a result to the shared folder and cuts its lineage.
+
+    The shuffle files behind it go as soon as it is written, for nothing can need
+    them again.  Spark removes the written files when nothing refers to them any
+    more, if the session cleans checkpoints.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
     gc.collect()
-    time.sleep(wait)  # what Python has just let go reaches the JVM from a thread that looks once a second
     spark.sparkContext._jvm.System.gc()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes a result to the shared folder and cuts its lineage; Spark removes it when nothing refers to it any more, if the session cleans checkpoints."""
-    checkpoint_folder(df.sparkSession)
-    release(df.sparkSession)
-    return df.checkpoint(eager=True)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new query, which takes the setting up
+    finally:
+        spark.conf.set(name, before)
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
