@@ -244,18 +244,26 @@ def events(text: Column) -> Column:
 
 def simhash(text: Column, bits: int = 32) -> Column:
     """A fingerprint of ASCII words of three characters or more; every occurrence votes, ties set the bit."""
-    tokens = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda x: F.length(x) >= 3)
-    tokens = F.when(F.size(tokens) == 0, F.array(text)).otherwise(tokens)
+    half, one, none = bits // 2, F.lit(1).cast("long"), F.lit(0).cast("long")
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  # a one-element array binds x once
+    tokens = bound(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda x: F.length(x) >= 3), lambda own: F.when(F.size(own) == 0, F.array(text)).otherwise(own))
     hashes = F.transform(tokens, lambda x: F.conv(F.left(F.md5(x), F.lit(8)), 16, 10).cast("long"))
+    # A long counts two bits, the upper half's in its upper 32 bits: a text has fewer words than that holds.
+    pairs = F.transform(hashes, lambda h: F.shiftleft(F.shiftright(h, half), 32).bitwiseOR(h.bitwiseAND((1 << half) - 1)))
+
+    def vote(own: Column, i: int) -> Column:
+        n = F.size(own)
+        bit = lambda yes, at: F.when(2 * yes >= n, F.shiftleft(one, at)).otherwise(none)
+        counts = F.aggregate(own, none, lambda a, h: a + F.shiftright(h, i).bitwiseAND((1 << 32) + 1))
+        return bound(counts, lambda c: bit(c.bitwiseAND((1 << 32) - 1), i) + bit(F.shiftright(c, 32), i + half))
 
     def votes(own: Column) -> Column:
-        bit = lambda i: F.aggregate(own, F.lit(0), lambda a, h: a + F.when(F.shiftrightunsigned(h, i).bitwiseAND(1) == 1, 1).otherwise(-1))
-        total = F.lit(0).cast("long")
-        for i in range(bits):
-            total = total + F.when(bit(i) >= 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        total = none
+        for i in range(half):
+            total = total + vote(own, i)
         return total
 
-    return F.get(F.transform(F.array(hashes), votes), F.lit(0))  # a one-element array binds the hashes once
+    return bound(pairs, votes)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -124,8 +124,10 @@ def vector_norms(spark, sf_dir):
 
 @query("fingerprint_match", f"WITH f AS {FINGER_SQL}, q AS (SELECT fingerprint AS g FROM f ORDER BY doc_id LIMIT 1) SELECT doc_id, round(4 * (1 - bit_count(xor(fingerprint, g)) / 32.0), 6) AS score FROM f, q WHERE 1 - bit_count(xor(fingerprint, g)) / 32.0 >= 0.62")
 def fingerprint_match(spark, sf_dir):
-    f = fingerprints(spark, sf_dir)
-    cue = f.orderBy("doc_id").first()
+    # inline() keeps the filter from computing every fingerprint a second time.
+    f = fingerprints(spark, sf_dir).select("doc_id", F.inline(F.array(F.struct("fingerprint"))))
+    first = table(spark, sf_dir, "documents").orderBy("doc_id").limit(1)  # its fingerprint alone, not all of them to sort
+    cue = first.select(T.simhash(F.col("text")).alias("fingerprint")).first()
     like = 1 - T.hamming(F.col("fingerprint"), F.lit(cue["fingerprint"]).cast("long")) / 32
     return f.filter(like >= 0.62).select("doc_id", F.round(4 * like, 6).alias("score"))
 

@@ -209,12 +209,12 @@ FINGER_SQL = f"(SELECT doc_id, CAST({SIMHASH_SQL} AS BIGINT) AS fingerprint FROM
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).filter(F.length("text") < 1500).select("doc_id", T.simhash(F.col("text")).alias("fingerprint"))
+    return documents(spark, sf_dir).select("doc_id", T.simhash(F.col("text")).alias("fingerprint"))
 
 
 @query("simhash", f"SELECT * FROM {FINGER_SQL}")
 def simhash(spark, sf_dir):
-    """Fingerprints of short memories."""
+    """Fingerprints of all memories, of any length."""
     return fingerprints(spark, sf_dir)
 
 
