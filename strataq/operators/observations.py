@@ -34,20 +34,33 @@ def typed_observations(claims: DataFrame) -> DataFrame:
     return rows.withColumns({"confidence": confidence(F.col("_base"), p, none), "trend": trend(p, none), "state": state(p, none)}).drop("_base")
 
 
-def verified(observations: DataFrame, checks: DataFrame, delta: float = 0.08) -> DataFrame:
-    """Applies verification events (key, seq, relation) in order: counts, clamped confidence, trend of the last one, state."""
+def verified(observations: DataFrame, checks: DataFrame, delta: float = 0.08, block: int = 100_000) -> DataFrame:
+    """Applies verification events (key, seq, relation) in order: counts, clamped confidence, trend of the last one, state.
+
+    Moves of a block of the sequence make one map, x to least(hi, greatest(lo, x + by)),
+    so no task holds a key's whole history.
+    """
     change = F.when(F.col("relation") == "supports", delta).when(F.col("relation") == "weakens", -delta).when(F.col("relation") == "contradicts", -2 * delta).otherwise(0.0)
-    agg = checks.groupBy("key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", change.alias("by")))), lambda x: x["by"]).alias("_by"),
+    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(0.98), x))
+    step = lambda m, x: F.struct((m["by"] + x).alias("by"), clamp(m["lo"] + x).alias("lo"), clamp(m["hi"] + x).alias("hi"))
+    same = F.struct(F.lit(0.0).alias("by"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    blocks = checks.groupBy("key", F.floor(F.col("seq") / block).alias("_b")).agg(
+        F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("seq", change.alias("by")))), lambda x: x["by"]), same, step).alias("_map"),
         F.count_if(F.col("relation") == "supports").alias("_p"),
         F.count_if(F.col("relation").isin("weakens", "contradicts")).alias("_c"),
         F.max_by("relation", "seq").alias("_last"),
     )
+    agg = blocks.groupBy("key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_b", "_map"))), lambda x: x["_map"]).alias("_maps"),
+        F.sum("_p").alias("_p"),
+        F.sum("_c").alias("_c"),
+        F.max_by("_last", "_b").alias("_last"),
+    )
     rows = observations.join(agg, "key")
-    clamp = lambda a, x: F.greatest(F.lit(0.0), F.least(F.lit(0.98), a + x))
+    apply = lambda a, m: F.least(m["hi"], F.greatest(m["lo"], a + m["by"]))
     p, c = F.col("proof_count") + F.col("_p"), F.col("contradiction_count") + F.col("_c")
     last = F.when(F.col("_last") == "supports", "strengthening").when(F.col("_last") == "weakens", "weakening").when(F.col("_last") == "contradicts", "contradicted").otherwise("stable")
-    return rows.select("key", p.alias("proof_count"), c.alias("contradiction_count"), F.aggregate("_by", F.col("confidence").cast("double"), clamp).alias("confidence"), last.alias("trend"), state(p, c).alias("state"))
+    return rows.select("key", p.alias("proof_count"), c.alias("contradiction_count"), F.aggregate("_maps", F.col("confidence").cast("double"), apply).alias("confidence"), last.alias("trend"), state(p, c).alias("state"))
 
 
 def packet_confidence(n: Column) -> Column:

@@ -3,6 +3,10 @@
 import hashlib
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from strataq.operators import observations as O
 from strataq.plans.all import QUERIES
 
 
@@ -36,3 +40,37 @@ def test_fingerprint_match_takes_long_texts(spark, tmp_path):
     want = {i: round(4 * x, 6) for i, x in like.items() if x >= 0.62}
     assert {2, 3} <= want.keys()
     assert dict(QUERIES["fingerprint_match"](spark, sf).collect()) == want
+
+
+MOVES = {"click": 0.08, "view": -0.08, "error": -0.16}
+TREND = {"click": "strengthening", "view": "weakening", "error": "contradicted"}
+
+
+def verified(events):
+    out = {}
+    for seq, user, kind in sorted(events):
+        p, c, x, _ = out.get(user, (1, 0, 0.5, ""))
+        out[user] = (p + (kind == "click"), c + (kind in ("view", "error")), max(0.0, min(0.98, x + MOVES.get(kind, 0.0))), kind)
+    return {u: (p, c, round(x, 6), TREND.get(k, "stable"), "contradicted" if c > p else "promoted" if p >= 2 else "candidate") for u, (p, c, x, k) in out.items()}
+
+
+def some_events():
+    kinds = ["click"] * 4 + ["view", "error", "purchase"]
+    return [(i, 7 if i in (1, 2, 3) else i * i % 3, kinds[i * 5 % 7 if i < 60 else i * i % 7]) for i in range(120)]
+
+
+def test_verify_observation_takes_every_event(spark, tmp_path):
+    events = some_events()
+    sf = put(spark, tmp_path, "events", events, "event_id long, user_id int, event_type string")
+    got = {r["key"]: (r["proof_count"], r["contradiction_count"], r["confidence"], r["trend"], r["state"]) for r in QUERIES["verify_observation"](spark, sf).collect()}
+    assert got == verified(events) and 7 in got
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_verified_by_blocks(spark, block):
+    events = some_events()
+    relation = {"click": "supports", "view": "weakens", "error": "contradicts"}
+    checks = spark.createDataFrame([(u, i, relation.get(k, "neutral")) for i, u, k in events], "key int, seq long, relation string")
+    start = spark.createDataFrame([(u, 1, 0, 0.5) for u in {u for _, u, _ in events}], "key int, proof_count long, contradiction_count long, confidence double")
+    got = {r["key"]: (r["proof_count"], r["contradiction_count"], round(r["confidence"], 6), r["trend"], r["state"]) for r in O.verified(start, checks, block=block).collect()}
+    assert got == verified(events)
