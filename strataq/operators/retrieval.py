@@ -86,12 +86,14 @@ def budgeted(groups: DataFrame, budget: int) -> DataFrame:
 
     An item larger than the budget is taken only while nothing is.  Within a group
     the kept rows are a prefix, so running sums decide; what is used carries over
-    from group to group, and groups are few.
+    from group to group, and groups are few.  Costs are at least 1, so a prefix that
+    fits has no more rows than the budget: the window need not see the others.
     """
     w = Window.partitionBy("grp").orderBy("pos")
-    rows = groups.withColumn("_sum", F.sum("cost").over(w))
+    rows = groups.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(budget, 1)).drop("_n")
+    rows = rows.withColumn("_sum", F.sum("cost").over(w))
     used, parts = 0, []
-    for g in [r[0] for r in rows.select("grp").distinct().orderBy("grp").collect()]:
+    for g in [r[0] for r in groups.select("grp").distinct().orderBy("grp").collect()]:
         own = rows.filter(F.col("grp") == g)
         if used == 0:
             head = own.orderBy("pos").first()

@@ -151,7 +151,7 @@ COST_SQL = f"(SELECT id AS pos, CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN
     c AS (SELECT grp, pos, cost, run FROM s WHERE grp = 3 AND run <= 3000 - (SELECT coalesce(max(run), 0) FROM a) - (SELECT coalesce(max(run), 0) FROM b))
     SELECT grp, pos, cost FROM (FROM a UNION ALL FROM b UNION ALL FROM c)""")
 def token_budget(spark, sf_dir):
-    rows = phrases(spark, sf_dir).filter("id <= 600").select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, 2).otherwise(3).alias("grp"), F.col("id").alias("pos"), T.token_estimate(F.col("text")).alias("cost"))
+    rows = phrases(spark, sf_dir).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, 2).otherwise(3).alias("grp"), F.col("id").alias("pos"), T.token_estimate(F.col("text")).alias("cost"))
     return Q.budgeted(rows, 3000)
 
 

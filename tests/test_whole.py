@@ -4,10 +4,11 @@ import hashlib
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from strataq.operators import observations as O
+from strataq.operators import retrieval as Q
 from strataq.plans.all import QUERIES
+from strataq.plans.text_queries import phrases
 
 
 def put(spark, folder, name, rows, schema):
@@ -74,3 +75,26 @@ def test_verified_by_blocks(spark, block):
     start = spark.createDataFrame([(u, 1, 0, 0.5) for u in {u for _, u, _ in events}], "key int, proof_count long, contradiction_count long, confidence double")
     got = {r["key"]: (r["proof_count"], r["contradiction_count"], round(r["confidence"], 6), r["trend"], r["state"]) for r in O.verified(start, checks, block=block).collect()}
     assert got == verified(events)
+
+
+def test_token_budget_takes_every_part(spark, tmp_path):
+    parts = [(i, "a", "b", "c") for i in range(1, 1501)]  # costs are so small that the budget reaches past the 600th part
+    sf = put(spark, tmp_path, "part", parts, "p_partkey int, p_name string, p_brand string, p_type string")
+    cost = {r["id"]: max(1, len(r["text"].split()) * 4 // 3) for r in phrases(spark, sf).collect()}
+    left, want = 3000, []
+    for grp, rest in ((1, 0), (2, 1), (3, 2)):
+        for i in range(1, 1501):
+            if i % 3 == rest:
+                if cost[i] > left:
+                    break
+                left -= cost[i]
+                want.append((grp, i, cost[i]))
+    assert max(i for _, i, _ in want) > 600
+    got = sorted((r["grp"], r["pos"], r["cost"]) for r in QUERIES["token_budget"](spark, sf).collect())
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("budget", [1, 3, 10])
+def test_budget_of_cheapest_rows(spark, budget):
+    rows = spark.createDataFrame([(1, i, 1) for i in range(20)], "grp int, pos int, cost long")
+    assert sorted(r["pos"] for r in Q.budgeted(rows, budget).collect()) == list(range(budget))
