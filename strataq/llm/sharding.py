@@ -4,7 +4,8 @@ Metadata columns are quantised (numbers by their quantiles, strings by the rank
 their frequency), the cells are put in the order of a Hilbert curve, and the
 ordered rows are cut into runs of nearly equal bytes.  Files of one run then have
 narrow ranges in every dimension.  Rows with equal texts stay together unless
-their group is large against a shard; such a group is cut between its rows.
+their group is large against a shard; such a group is one run of the curve too,
+and cut between its rows where a shard ends.
 
 All sorting is a range exchange of narrow rows, with the key as the last sort
 column, so that no value can fill a task.  Totals by partition are collected: one
@@ -78,17 +79,19 @@ def hilbert_shards(df: DataFrame, shards: int = 8, key_column: str = "doc_id", t
 
     ``size`` is the text's UTF-8 length plus 1; a null text has size 1.  Rows are
     numbered from 0 in each shard, in curve order.  Groups of equal texts of at
-    most ``group_share`` of a shard's bytes are kept whole.
+    most ``group_share`` of a shard's bytes are kept whole; the rows of larger ones
+    follow each other, whatever their metadata.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     narrow = df.select(F.col(key_column).alias("_key"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), F.xxhash64(t).alias("_group"), *strings)
     narrow = materialise(narrow)
     total = narrow.agg(F.sum("size")).first()[0] or 0
     copies = narrow.groupBy("_group", "size").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*strings)).alias("_first") if strings else F.lit(None).alias("_first"))
-    copies = copies.filter((F.col("_n") > 1) & (F.col("_n") * F.col("size") <= total / shards * group_share))
-    whole = F.col("_n").isNotNull()
+    copies = copies.filter(F.col("_n") > 1)
+    shared = F.col("_n").isNotNull()
+    whole = F.col("_n") * F.col("size") <= total / shards * group_share
     rows = narrow.join(copies, ["_group", "size"], "left")
-    rows = rows.select("_key", "size", "text_crc32", "_group", *[F.when(whole, F.col("_first")[s]).otherwise(F.col(s)).alias(s) for s in strings], F.when(whole, F.col("_n") * F.col("size")).alias("_bytes"))
+    rows = rows.select("_key", "size", "text_crc32", "_group", *[F.when(shared, F.col("_first")[s]).otherwise(F.col(s)).alias(s) for s in strings], F.when(whole, F.col("_n") * F.col("size")).alias("_bytes"))
     cells = quantisers(narrow, ["size"], strings)
     dims = len(cells)
     rows = rows.select("_key", "size", "text_crc32", "_group", "_bytes", *[c.cast("int").alias(f"_c{i}") for i, c in enumerate(cells)])
