@@ -36,13 +36,15 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, component): the least node reachable; isolated nodes are their own.
 
     Every round takes the least label among neighbours and then follows the label's
-    own label, so long chains shrink fast.  Labels are written to the checkpoint
-    folder between rounds.
+    own label, so most chains shrink fast; at worst a chain takes a round a node.  Labels are written to the checkpoint
+    folder between rounds.  Rounds go on until no label changes; more than
+    ``most_rounds``, if given, are an error.
     """
+    import itertools
     import tempfile
 
     sc = nodes.sparkSession.sparkContext
@@ -50,7 +52,9 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> Dat
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strataq-"))
     hops = both_ways(edges).select("node", "other").distinct()
     labels = nodes.select("node").distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(most_rounds):
+    for done in itertools.count():  # labels only fall, so this ends
+        if done == most_rounds:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
         near = hops.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("_near"))
         step = labels.join(near, "node", "left").select("node", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("component"))
         jump = step.select(F.col("node").alias("_n"), F.col("component").alias("_c"))

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from strataq.llm.sharding import hilbert_shards
+from strataq.operators import graph as R
 from strataq.operators import observations as O
 from strataq.operators import retrieval as Q
 from strataq.plans.all import QUERIES
@@ -110,3 +111,14 @@ def test_large_groups_of_copies_are_one_run_of_shards(spark):
     assert len(out) == 1000 and all(order[at : at + 50]) and len({r["shard"] for r in out if r["doc_id"] >= 950}) <= 2
     load = [sum(r["size"] for r in out if r["shard"] == s) for s in range(8)]
     assert max(load) - min(load) <= 2 * 11
+
+
+def test_components_of_a_slow_graph(spark):
+    """A chain 0, n - 1, n - 2 ... 1: the least label moves one step a round."""
+    n = 8
+    chain = [0, *range(n - 1, 0, -1)]
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node long")
+    edges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(chain, chain[1:]))], "id long, source_id long, target_id long")
+    assert {r["component"] for r in R.components(nodes, edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        R.components(nodes, edges, most_rounds=2)
