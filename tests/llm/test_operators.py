@@ -352,12 +352,48 @@ def test_repeats_of_exact_width_and_multibyte(spark):
     assert by_id(suffixes.repeat_digests(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == grouped(brute_repeats([(k, t.encode()) for k, t in made]))
 
 
-def test_longest_previous_factors():
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_longest_previous_factors(least):
     rng = random.Random(9)
-    for _ in range(60):
-        t = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 24)))
-        want = [max([0, *(next((k for k in range(len(t) - i) if t[i + k] != t[j + k]), len(t) - i) for j in range(i))]) for i in range(len(t))]
-        assert suffixes.longest_previous_factors(t) == want
+    for _ in range(80):
+        t = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40)))
+        value = np.array([rng.randint(0, 5) if rng.random() < 0.5 else i for i in range(len(t))], np.int64)
+        order = sorted(range(len(t)), key=lambda i: t[i:])
+        lcp = np.array([0, *(common(t[i:], t[j:]) for i, j in zip(order, order[1:], strict=False))][: len(t)], np.int64)
+        got = suffixes.longest_previous_factors(value[order], lcp, least)
+        want = [max([0, *(common(t[i:], t[j:]) for j in order if value[j] < value[i])]) for i in order]
+        assert got.tolist() == [x if x >= least else 0 for x in want]
+
+
+def test_leftmost_anchors():
+    rng = random.Random(12)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 150))) for _ in range(20)] + [b"ab" * 90, b"x" * 200, b"abcdefg" * 30]
+    at = np.cumsum([0, *map(len, texts)])
+    doc, h, first, last, place = suffixes.anchors(np.frombuffer(b"".join(texts), np.uint8), at, 50)
+    seen = {}
+    for d, x, a, z, p in zip(doc, h, first - at[doc], last - at[doc], place - at[doc], strict=True):
+        for s in range(a, z + 1):
+            assert s <= p <= s + 18
+            assert seen.setdefault(texts[d][s : s + 50], (x, p - s)) == (x, p - s)
+    assert set(seen) == {t[s : s + 50] for t in texts for s in range(len(t) - 49)}
+
+
+def test_common_lines_are_cut_up(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_LEAST", 3)
+    rng = random.Random(13)
+    line = prose(rng, 14)[:70]
+    made = [(i, f"{prose(rng, rng.randint(1, 9))}{line}{prose(rng, rng.randint(1, 9))}"[: rng.choice([200, 70, 55])]) for i in range(300)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(6)
+    assert by_id(suffixes.repeat_digests(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == grouped(brute_repeats([(k, t.encode()) for k, t in made]))
+    hot = np.array([], np.uint64)
+    pieces = suffixes.Contexts(4, 2, 50, hot)
+    text = np.frombuffer(line.encode()[:68], np.uint8)
+    one = pieces.cut_up(text, np.ones(1, np.uint64), *(np.array([x]) for x in (5, 0, 100, 68, 18, 0)))
+    assert sorted(int(x) for p in one for x in p[4]) == [100, 104, 109, 114] and {int(x) for p in one for x in p[5]} == {54, 53}
 
 
 # 9: token counts
