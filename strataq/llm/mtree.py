@@ -7,9 +7,12 @@ routing object.  A search opens nodes in the order of their least possible
 distance; stored distances and the triangle inequality save most distance
 computations, and scores themselves are integers computed exactly.
 
-Vectors are dealt to groups of bounded size by their nearest pivot and a salt; every
-group is one M-tree.  Queries come in blocks.  A first bound on each query's k-th
-score, from a bounded sample of real candidates, rules out groups and nodes.
+The top of the tree is spread over the cluster.  Vectors go to the cell of their
+nearest pivot; one row for each cell, with its covering radius and greatest norm, is
+broadcast.  A first bound on each query's k-th score, from a bounded sample of real
+candidates, rules out cells before anything is sent: a query travels only to cells
+that its bound cannot exclude.  A cell of more than ``group`` vectors is dealt to
+several trees; a tree that more than ``block`` queries ask is built several times.
 """
 
 from __future__ import annotations
@@ -19,26 +22,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from strataq.llm.batch import column
-from strataq.llm.shared import materialise
+from strataq.llm.batch import column, runs
+from strataq.llm.shared import frugal, materialise
 
 PAGE = 256
-EXACT = 1 << 23  # below this, products of up to 127 components are exact as doubles too
+EXACT, WHOLE = float(1 << 23), float(1 << 27)  # below these, sums of products are exact as doubles, or as 64-bit integers
+MOST = 2.0**500
 
 
 def quantise(embedding: list | None) -> np.ndarray | None:
-    """floor(256 x) of every component, or None if the vector takes no part."""
+    """floor(256 x) of every component as exact doubles, or None if the vector takes no part."""
     if not embedding or any(v is None for v in embedding):
         return None
-    x = np.floor(256.0 * np.asarray(embedding, np.float64))
-    return x.astype(np.int64) if np.isfinite(x).all() else None
+    x = np.asarray(embedding, np.float64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        x = np.floor(256.0 * x)
+    return x if (np.abs(x) < MOST).all() else None
 
 
 def quantised(df: DataFrame, key_column: str, vector: str) -> DataFrame:
-    """Rows that take part: key, number of components, packed integers."""
+    """Rows that take part: key, number of components, packed doubles."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(k, len(q), q.tobytes()) for k, v in zip(column(b, key_column).to_pylist(), column(b, vector).to_pylist(), strict=True) if k is not None and (q := quantise(v)) is not None]
@@ -48,6 +55,31 @@ def quantised(df: DataFrame, key_column: str, vector: str) -> DataFrame:
     return df.select(key_column, vector).mapInArrow(run, "vec_id long, dims int, packed binary")
 
 
+def vectors(packed: list[bytes], dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.float64).reshape(-1, dims)
+
+
+def whole_numbers(x: np.ndarray, most: float) -> np.ndarray:
+    """The same vectors in a type whose sums of products are exact if no component of either side reaches ``most``."""
+    if most < EXACT and x.shape[-1] < 128:
+        return x
+    if most < WHOLE and x.shape[-1] <= 256:
+        return x.astype(np.int64)
+    return np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
+
+
+def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    most = max(float(np.abs(x).max(initial=0.0)), float(np.abs(q).max(initial=0.0)))
+    return whole_numbers(x, most) @ whole_numbers(q, most)
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes in the order of the integers, however large."""
+    size = (abs(score).bit_length() + 7) // 8
+    plain = size.to_bytes(2, "big") + abs(score).to_bytes(size, "big")
+    return b"\1" + plain if score >= 0 else b"\0" + bytes(255 - v for v in plain)
+
+
 class Node:
     """Routing vectors or leaf entries, with radii and distances to the parent's routing object."""
 
@@ -58,18 +90,22 @@ class Node:
 
 
 class MTree:
-    """An M-tree over integer vectors, loaded in bulk."""
+    """An M-tree over vectors of whole numbers, loaded in bulk; rows that repeat key and vector count once."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        f = self.x.astype(np.float64)
+        order = np.lexsort((*x.T[::-1], ids))
+        ids, x = ids[order], x[order].astype(np.float64)
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)
+        self.ids, self.x = ids[new], x[new]
+        self.largest = float(np.abs(self.x).max(initial=0.0))
+        self.typed: dict[str, np.ndarray] = {}
+        self.scale = 1.0 if self.largest < 2.0**60 else 2.0 ** -np.ceil(np.log2(self.largest))
+        f = self.x * self.scale
         square = (f * f).sum(axis=1)
-        self.exact = len(f) > 0 and f.shape[1] < 128 and float(np.abs(f).max()) < EXACT
-        self.plain = f if self.exact else self.x
         self.most = float(square.max()) if len(f) else 0.0
         self.y = np.concatenate([f, np.sqrt(np.maximum(0.0, self.most - square))[:, None]], axis=1)
-        self.slack = 1e-6 * (1.0 + np.sqrt(self.most))
+        self.slack = 1e-6 * (self.scale + np.sqrt(self.most))
         self.computed = 0
         self.root = self._build(np.arange(len(f)), None, np.random.default_rng(5))
 
@@ -91,15 +127,20 @@ class MTree:
         radii = np.array([near[owner == i, i].max() for i in used])
         return Node(pivots[used], away(pivots[used]), radii, children)
 
-    def search(self, own: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
+    def search(self, own: int, q: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
         """The k best (score, id) with score >= floor, without the id ``own``; ties to smaller ids."""
-        asked = q.astype(np.float64) if self.exact and len(q) and float(np.abs(q).max()) < EXACT else q
-        plain = self.plain if asked is not q else self.x
-        qf = np.append(q.astype(np.float64), 0.0)
+        most = max(self.largest, float(np.abs(q).max(initial=0.0)))
+        asked = whole_numbers(q.astype(np.float64), most)
+        kind = asked.dtype.char
+        if kind not in self.typed:
+            self.typed[kind] = self.x if kind == "d" else whole_numbers(self.x, most)
+        plain = self.typed[kind]
+        qf = np.append(q.astype(np.float64) * self.scale, 0.0)
         shift = float(qf @ qf) + self.most
-        reach = lambda score: np.sqrt(max(0.0, shift - 2.0 * score)) + self.slack  # noqa: E731  distance at which this score lies
+        give = self.slack + 1e-6 * float(np.sqrt(qf @ qf))
+        reach = lambda score: np.sqrt(max(0.0, shift - 2.0 * float(score) * self.scale * self.scale)) + give  # noqa: E731  distance at which this score lies
         best: list[tuple[int, int]] = []  # a heap of (score, -id)
-        far = reach(floor)
+        far = np.inf if floor is None else reach(floor)
         queue: list[tuple[float, int, Node, float | None]] = [(0.0, 0, self.root, None)]
         n = 0
         while queue and queue[0][0] <= far:
@@ -115,8 +156,8 @@ class MTree:
             self.computed += len(rows)
             if node.children is None:
                 scores = plain[rows] @ asked
-                low = floor if len(best) < k else max(floor, best[0][0])
-                for i in np.flatnonzero(scores >= low):
+                low = floor if len(best) < k else best[0][0] if floor is None else max(floor, best[0][0])
+                for i in np.flatnonzero(scores >= low) if low is not None else range(len(rows)):
                     item = (int(scores[i]), -int(self.ids[rows[i]]))
                     if item[1] == -own:
                         continue
@@ -135,86 +176,169 @@ class MTree:
         return sorted(((s, -i) for s, i in best), key=lambda r: (-r[0], r[1]))
 
 
-def top_k(df: DataFrame, every: int = 50, k: int = 5, sample: int = 512, group: int = 4096, block: int = 2048, key_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """For every vector whose key is divisible by ``every``, its ``k`` best other vectors by integer inner product.
-
-    Returns query_id, rank (from 1), vec_id, score.  Vectors that are null or hold
-    null or non-finite components take no part, nor do rows without a key; vectors
-    of different lengths are not compared.  Components must stay below 2^28 after
-    scaling.  ``sample`` bounds the pivots and the first candidates.
-    """
+class Cells:
+    """The top of the tree for vectors of one length: pivots, and for each cell its covering radius, greatest norm, first tree and number of trees."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: int):
+        self.ids, self.x, self.pivots = ids, x, x[:pivots]
+        self.scale = 2.0 ** -np.ceil(np.log2(max(1.0, float(np.abs(x).max(initial=0.0)))))
+        self.unit = self.pivots * self.scale
+        self.square = (self.unit * self.unit).sum(axis=1)
+        self.cells = np.zeros(0, np.int64)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each vector: its cell, the distance to that cell's pivot, and its norm."""
+        u = x * self.scale
+        cell = (self.square - 2.0 * (u @ self.unit.T)).argmin(axis=1)
+        away = np.sqrt(((x - self.pivots[cell]) ** 2).sum(axis=1))
+        return cell, away, np.sqrt((x * x).sum(axis=1))
+
+    def set(self, cells: list[tuple[int, float, float, int, int]]) -> None:
+        self.cells, self.radius, self.norm, self.base, self.trees = (np.array(c) for c in zip(*cells, strict=True))
+
+    def reached(self, own: int, q: np.ndarray, k: int) -> tuple[int | None, np.ndarray]:
+        """A score that the k-th best of ``q`` has at least, and the cells that can hold such a score."""
+        apart = np.flatnonzero(self.ids != own)
+        if len(apart) < k:
+            return None, np.arange(len(self.cells))
+        scores = exact_products(self.x[apart], q)
+        floor = int(np.sort(scores)[-k])
+        size = float(np.sqrt(q @ q))
+        at = self.pivots[self.cells]
+        greatest = np.minimum(at @ q + size * self.radius, size * self.norm)
+        give = 1e-9 * size * (np.sqrt((at * at).sum(axis=1)) + self.radius)
+        return floor, np.flatnonzero(greatest + give >= float(floor) - 1e-9 * abs(float(floor)))
+
+
+def grouped_cells(counts: list, top: dict[int, Cells], group: int) -> int:
+    """Gives every cell its trees; returns how many there are."""
+    base = 0
+    cells: dict[int, list[tuple[int, float, float, int, int]]] = {}
+    for dims, cell, n, radius, norm in sorted(counts):
+        trees = -(-n // group)
+        cells.setdefault(dims, []).append((cell, radius, norm, base, trees))
+        base += trees
+    for dims, own in cells.items():
+        top[dims].set(own)
+    return base
+
+
+def sent(queries: DataFrame, top, k: int) -> DataFrame:
+    """(g, query_id, mark, dims, packed, floor): every query once for each tree that can hold one of its best."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            which, trees, floors = [], [], []
+            for i, (own, d, p) in enumerate(zip(column(b, "query_id").to_pylist(), column(b, "dims").to_pylist(), column(b, "packed").to_pylist(), strict=True)):
+                cells = top.value[d]
+                floor, ok = cells.reached(own, np.frombuffer(p, np.float64), k)
+                for g in [g for c in ok.tolist() for g in range(cells.base[c], cells.base[c] + cells.trees[c])]:
+                    which.append(i)
+                    trees.append(g)
+                    floors.append(None if floor is None else str(floor))
+            out = b.take(pa.array(which, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(trees, pa.int32()), *(column(out, c) for c in ("query_id", "mark", "dims", "packed")), pa.array(floors, pa.string())], ["g", "query_id", "mark", "dims", "packed", "floor"])
+
+    return queries.mapInArrow(run, "g int, query_id long, mark long, dims int, packed binary, floor string")
+
+
+def spread(df: DataFrame, every: int, k: int, sample: int, group: int, key_column: str, vector: str) -> tuple[DataFrame, DataFrame, int] | None:
+    """Vectors with their trees, queries with the trees that they have to ask, and the number of trees."""
     spark = df.sparkSession
     rows = materialise(quantised(df, key_column, vector))
-    schema = "query_id long, rank int, vec_id long, score long"
     n = rows.count()
     if not n:
-        return spark.createDataFrame([], schema)
+        return None
     chance = F.pmod(F.xxhash64("vec_id", F.lit("pivots")), F.lit(1 << 40)) / float(1 << 40)
-    head = rows.filter(chance < min(1.0, 2.0 * sample / n)).orderBy(F.xxhash64("vec_id", F.lit("pivots")), "vec_id").limit(sample).collect()
-    if not head:
-        head = rows.limit(1).collect()
-    by_dims: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for d in {r["dims"] for r in head}:
+    # Of every length, about its share of the sample, and one at least.
+    lengths = {r[0]: r[1] for r in rows.groupBy("dims").agg(F.min_by("packed", "vec_id")).collect()}
+    head = rows.filter(chance < min(1.0, 2.0 * sample / n)).dropDuplicates(["vec_id", "packed"]).orderBy(F.xxhash64("vec_id", F.lit("pivots")), "vec_id", "packed").limit(sample).collect()
+    top: dict[int, Cells] = {}
+    for d, one in lengths.items():
         own = [r for r in head if r["dims"] == d]
-        by_dims[d] = np.array([r["vec_id"] for r in own]), np.stack([np.frombuffer(r["packed"], np.int64) for r in own])
-    known = spark.sparkContext.broadcast(by_dims)
-    pivots = 64
+        ids, x = (np.array([r["vec_id"] for r in own]), vectors([r["packed"] for r in own], d)) if own else (np.zeros(0, np.int64), vectors([one], d))
+        top[d] = Cells(ids if own else np.array([-1]), x, max(1, min(sample, -(-4 * n // group))))
+        if not own:  # this vector is a pivot, not a candidate that bounds scores
+            top[d].ids, top[d].x = ids, x[:0]
+    pivots = spark.sparkContext.broadcast(top)
 
+    @frugal
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for d, p in zip(column(b, "dims").to_pylist(), column(b, "packed").to_pylist(), strict=True):
-                if d not in known.value:
-                    out.append(0)
+            dims = column(b, "dims").to_numpy()
+            cell, away, norm = np.zeros(len(dims), np.int64), np.zeros(len(dims)), np.zeros(len(dims))
+            packed = column(b, "packed").to_pylist()
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                cell[at], away[at], norm[at] = pivots.value[d].nearest(vectors([packed[i] for i in at], d))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(away), pa.array(norm)], [*b.schema.names, "cell", "away", "norm"])
+
+    dealt = rows.mapInArrow(nearest, "vec_id long, dims int, packed binary, cell int, away double, norm double")
+    # At most ``sample`` rows for each length.
+    counts = [tuple(r) for r in dealt.groupBy("dims", "cell").agg(F.count(F.lit(1)), F.max("away"), F.max("norm")).collect()]
+    n_trees = grouped_cells(counts, top, group)
+    plan = spark.createDataFrame([(int(d), int(c), int(s), int(t)) for d, x in top.items() for c, s, t in zip(x.cells, x.base, x.trees, strict=True)], "dims int, cell int, _base int, _trees int")
+    members = dealt.join(F.broadcast(plan), ["dims", "cell"])
+    members = members.select((F.col("_base") + F.pmod(F.xxhash64("vec_id", F.lit("salt")), F.col("_trees"))).cast("int").alias("g"), "vec_id", "dims", "packed")
+    queries = rows.filter(F.col("vec_id") % every == 0).withColumn("mark", F.xxhash64("packed")).dropDuplicates(["vec_id", "mark"]).withColumnRenamed("vec_id", "query_id")
+    return members, sent(queries.select("query_id", "mark", "dims", "packed"), spark.sparkContext.broadcast(top), k), n_trees
+
+
+def search_trees(k: int):
+    """In a partition in order of tree, its vectors before its queries: each query's best in each tree."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree, ids, packed, dims = None, None, [], [], 0
+        for b in batches:
+            g, block, asks = column(b, "g").to_numpy(), column(b, "b").to_numpy(), column(b, "asks").to_numpy(zero_copy_only=False)
+            out: list[tuple[int, int, int, int, bytes]] = []
+            for i, j in zip(*(x.tolist() for x in runs(g, block, asks)), strict=True):
+                part, key = b.slice(i, j - i), (int(g[i]), int(block[i]))
+                if key != now:
+                    now, tree, ids, packed = key, None, [], []
+                if not asks[i]:
+                    ids.append(column(part, "id").to_numpy())
+                    packed += column(part, "packed").to_pylist()
+                    dims = column(part, "dims")[0].as_py()
+                    continue
+                if not ids:
                     continue
-                x = np.frombuffer(p, np.int64).astype(np.float64)
-                gap = known.value[d][1][:pivots].astype(np.float64) - x
-                out.append(int((gap * gap).sum(axis=1).argmin()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "pivot"])
-
-    dealt = rows.mapInArrow(nearest, "vec_id long, dims int, packed binary, pivot int")
-    counts = {(r[0], r[1]): r[2] for r in dealt.groupBy("dims", "pivot").count().collect()}
-    # Pivots with few vectors share a group; one with many is salted.
-    plan: dict[tuple[int, int], tuple[int, int]] = {}
-    base, open_group, filled = 0, None, 0
-    for (d, p), c in sorted(counts.items()):
-        parts = -(-c // group)
-        if parts == 1 and open_group is not None and open_group[0] == d and filled + c <= group:
-            plan[d, p] = open_group[1], 1
-            filled += c
-            continue
-        plan[d, p] = base, parts
-        open_group, filled = ((d, base), c) if parts == 1 else (None, 0)
-        base += parts
-    deal = spark.createDataFrame([(d, p, *v) for (d, p), v in plan.items()], "dims int, pivot int, _base int, _parts int")
-    is_query = F.col("vec_id") % every == 0
-    n_queries = rows.filter(is_query).count()
-    blocks = max(1, -(-n_queries // block))
-    grouped = dealt.join(F.broadcast(deal), ["dims", "pivot"])  # at most 64 rows for each vector length
-    grouped = grouped.withColumn("g", F.col("_base") + F.pmod(F.xxhash64("vec_id", F.lit("salt")), F.col("_parts")).cast("int"))
-    pages = grouped.select("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "vec_id", "packed")
-    groups = spark.createDataFrame([(d, sorted({g for (e, _), (s, parts) in plan.items() if e == d for g in range(s, s + parts)})) for d in {d for d, _ in plan}], "dims int, gs array<int>")
-    asked = rows.filter(is_query).join(F.broadcast(groups), "dims").select(F.explode("gs").alias("g"), F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int").alias("b"), F.col("vec_id").alias("query_id"), "packed")
-
-    def first_bound(own: int, q: np.ndarray) -> float:
-        if len(q) not in known.value:
-            return -np.inf
-        ids, x = known.value[len(q)]
-        scores = (x @ q)[ids != own]
-        return float(np.partition(scores, -k)[-k]) if len(scores) >= k else -np.inf
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        if left.num_rows and right.num_rows:
-            tree = MTree(left["vec_id"].to_numpy(), np.stack([np.frombuffer(v, np.int64) for v in left["packed"].to_pylist()]))
-            for own, p in zip(right["query_id"].to_pylist(), right["packed"].to_pylist(), strict=True):
-                q = np.frombuffer(p, np.int64)
-                floor = first_bound(own, q)
-                out += [(own, i, s) for s, i in tree.search(own, q, k, floor if floor > -np.inf else -float(2**62))]
-        return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("query_id", "vec_id", "score"))})
-
-    found = pages.groupBy("g", "b").cogroup(asked.groupBy("g", "b")).applyInArrow(answer, "query_id long, vec_id long, score long")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                if tree is None:
+                    tree = MTree(np.concatenate(ids), vectors(packed, dims))
+                    packed = []
+                for own, mark, p, floor in zip(*(column(part, c).to_pylist() for c in ("id", "mark", "packed", "floor")), strict=True):
+                    found = tree.search(own, np.frombuffer(p, np.float64), k, None if floor is None else int(floor))
+                    out += [(own, mark, i, min(max(s, -(2**63)), 2**63 - 1), sort_key(s)) for s, i in found]
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["query_id", "mark", "vec_id", "score", "order"])
+
+    return run
+
+
+def top_k(df: DataFrame, every: int = 50, k: int = 5, sample: int = 1024, group: int = 4096, block: int = 8192, key_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """For every vector whose key is divisible by ``every``, its ``k`` best other vectors by integer inner product.
+
+    Returns query_id, rank (from 1), vec_id, score.  Vectors that are null or empty, or
+    hold null or non-finite components or such that reach 2^500 when scaled, take no
+    part, nor do rows without a key; vectors of different lengths are not compared.
+    Rows that repeat key and vector entirely count once; different vectors of one key
+    each take part, as queries with ranks of their own, and never find each other.
+    Ranks follow the exact scores; a score outside the range of a long is returned as
+    the range's end.  ``sample`` bounds the pivots and the first candidates.
+    """
+    spark = df.sparkSession
+    made = spread(df, every, k, sample, group, key_column, vector)
+    if made is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    members, asked, trees = made
+    blocks = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    blocks = materialise(blocks)  # one row for each tree that is asked
+    blocks = F.broadcast(blocks) if trees <= 1_000_000 else blocks
+    left = members.join(blocks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("b"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("mark"), "dims", "packed", F.lit(None).cast("string").alias("floor"))
+    right = asked.join(blocks, "g").select("g", F.pmod(F.xxhash64("query_id", F.lit("block")), F.col("_blocks")).cast("int").alias("b"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "mark", "dims", "packed", "floor")
+    both = left.unionByName(right).repartition("g", "b").sortWithinPartitions("g", "b", "asks")
+    found = both.mapInArrow(search_trees(k), "query_id long, mark long, vec_id long, score long, order binary")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("order"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -237,13 +237,63 @@ def test_top_k_is_exact(spark):
     assert mtree.top_k(df.limit(0)).count() == 0 and mtree.top_k(df.filter("vec_id < 3")).count() == 2
 
 
+def brute_top(made, every=50, k=5):
+    """By query row: (key, vector) that repeat count once, and vectors of one key never find each other."""
+    rows = sorted({(i, tuple(int(np.floor(256.0 * c)) for c in v)) for i, v in made})
+    out = defaultdict(list)
+    for i, q in rows:
+        if i % every == 0:
+            near = sorted(((sum(a * b for a, b in zip(q, x, strict=True)), -j) for j, x in rows if j != i and len(x) == len(q)), reverse=True)[:k]
+            out[i].append([(-j, min(max(s, -(2**63)), 2**63 - 1)) for s, j in near])
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def answers(df):
+    out = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    return out
+
+
+def test_top_k_of_awkward_rows(spark):
+    rng = np.random.default_rng(4)
+    made = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 4)))]
+    made += [made[0], made[0], made[7], (50, [3.0, -1.0, 2.0, 0.5]), (300, [float("inf"), 1.0, 0.0, 0.0])]
+    made += [(200, [1e9, -1e9, 3.25, 0.0]), (201, [1e9, 1e9, 0.5, 1.0]), (202, [-1e12, 0.1, 0.0, 7.0]), (203, [2e9, -5e8, 0.0, 0.0]), (250, [1e30, 1.0, 1.0, 1.0])]
+    odd = [(400, []), (450, [1.0, None, 1.0, 1.0]), (500, [1e200, 0.0, 0.0, 0.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in made + odd], "vec_id long, embedding array<double>, packed string, g int")
+    want = brute_top([(i, v) for i, v in made if i != 300])
+    got = answers(mtree.top_k(df, group=16, sample=40, block=2))
+    assert set(got) == set(want)
+    for i, lists in want.items():
+        assert sorted(got[i]) == sorted(x for v in lists for x in v), i
+    assert [s for _, s in got[250]][-1] >= -(2**63) and got[200][0][0] == 250
+
+
+def test_orders_of_scores():
+    values = [0, 1, -1, 255, 256, -255, -256, 2**70, -(2**70), 2**70 + 1, 10**90, -(10**90)]
+    assert sorted(values) == sorted(values, key=mtree.sort_key)
+
+
+def test_queries_go_to_few_trees(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 16)) * 8
+    x = centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 16)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    members, sent, trees = mtree.spread(df, 50, 5, 512, 256, "vec_id", "embedding")
+    assert members.count() == 6000 and members.groupBy("g").count().agg(F.max("count")).first()[0] <= 512
+    assert sent.count() < 0.25 * 120 * trees
+    made = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert {i: [v] for i, v in answers(mtree.top_k(df, sample=512, group=256)).items()} == brute_top(made)
+
+
 def test_stored_distances_save_work():
     rng = np.random.default_rng(0)
     centres = rng.integers(-4000, 4000, (20, 16))
     x = (centres[rng.integers(0, 20, 4000)] + rng.integers(-60, 60, (4000, 16))).astype(np.int64)
     tree = mtree.MTree(np.arange(4000), x)
     for i in range(20):
-        assert [s for s, _ in tree.search(i, x[i], 5, -float(2**62))] == sorted((np.delete(x, i, 0) @ x[i]).tolist(), reverse=True)[:5]
+        assert [s for s, _ in tree.search(i, x[i], 5, None)] == sorted((np.delete(x, i, 0) @ x[i]).tolist(), reverse=True)[:5]
     assert tree.computed < 0.6 * 20 * 4000
 
 
