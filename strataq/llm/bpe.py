@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strataq.llm.batch import U, HashIndex, SpanCache, chunks, column, flat_ranges, mix, prefix_hash, span_hash, text_bytes, widened
-from strataq.llm.shared import bound_batches
+from strataq.llm.shared import bound_batches, frugal
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: White space as regular expressions see it (Unicode White_Space).
@@ -305,6 +305,7 @@ def bpe_encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "i
     spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
     df = df.drop(ids)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = worker(key, lambda: spec.value)
         for b in batches:
@@ -329,6 +330,7 @@ def bpe_decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "de
     spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
     df = df.drop(text)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, _, _ = worker(key, lambda: spec.value)
         for b in batches:
@@ -344,6 +346,7 @@ def bpe_digests(df: DataFrame, vocab_path: str, key_column: str = "doc_id", text
     content = read_file(vocab_path)
     spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = worker(key, lambda: spec.value)
         v = tables[0]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from strataq.llm.batch import chunks, column, prefix_hash, span_hash, text_bytes
 from strataq.llm.bpe import read_file, worker
-from strataq.llm.shared import bound_batches
+from strataq.llm.shared import bound_batches, frugal
 
 #: What the registered query edits: e-mail addresses and long digit runs give way to a placeholder.
 REDACTIONS = ((rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", b"<email>"), (rb"[0-9](?:[ -]?[0-9]){6,}", b"<number>"))
@@ -129,6 +129,7 @@ def edited_token_counts(df: DataFrame, vocab_path: str, redactions=REDACTIONS, k
     spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
     names = ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pretokens", "n_reencoded"]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = worker(key, lambda: spec.value)
         _, pre, cache = tables

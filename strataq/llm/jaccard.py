@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataq.llm.batch import U, chunks, column, flat_ranges, mix, prefix_hash, runs, span_hash, text_bytes, word_spans
-from strataq.llm.shared import bound_batches, materialise
+from strataq.llm.shared import bound_batches, frugal, materialise
 from strataq.llm.suffixes import planes, unplanes
 
 WORDS, SKETCH_BITS, SKETCH_BLOCKS, LONG = 5, 21, 64, 32
@@ -84,6 +84,7 @@ def array_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 def numbered_sets(docs: DataFrame) -> DataFrame:
     """Of (doc_id, text, row): doc_id, row, n, and the set's number (null without words)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -100,6 +101,7 @@ def shingle_classes(docs: DataFrame) -> np.ndarray:
     """The class of every sketch cell: 0, or the magnitude by which its count stands out."""
     cells = (1 << SKETCH_BITS) // SKETCH_BLOCKS
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         for b in batches:
@@ -116,6 +118,7 @@ def shingle_classes(docs: DataFrame) -> np.ndarray:
                 sketch += np.bincount((cell >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([planes(sketch[i * cells : (i + 1) * cells]) for i in range(SKETCH_BLOCKS)], pa.binary())], ["block", "counts"])
 
+    @frugal
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
@@ -148,6 +151,7 @@ INDEX = "range int, a binary, b binary, c binary"
 def index_entries(docs: DataFrame, classes, ranges: int) -> DataFrame:
     """Packed prefix entries; equal sets of one task are entered once."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count, seen = 0, set()
@@ -204,6 +208,7 @@ def hash_pairs(a: np.ndarray, b: np.ndarray, buckets: int) -> list[tuple[int, by
 def settle_index(buckets: int):
     """Index lists of a place: pairs (kind 0, packed) and the members of long lists (kind 1, packed)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
         for b in batches:
@@ -256,6 +261,7 @@ def settle_index(buckets: int):
 def distinct_pairs(packed: DataFrame, places: int) -> DataFrame:
     """(a, b) rows, a < b, each once, from packed buckets."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
@@ -271,6 +277,7 @@ def distinct_pairs(packed: DataFrame, places: int) -> DataFrame:
 
 
 def long_lists(packed: DataFrame) -> DataFrame:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in column(b, "x").to_pylist():
@@ -283,6 +290,7 @@ def long_lists(packed: DataFrame) -> DataFrame:
 def squeezed(df: DataFrame) -> DataFrame:
     """(number, packed, size): compressed texts."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
         for b in batches:
@@ -302,6 +310,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Adds ``link`` to pairs: the exact test on whole sets."""
     both = pairs.join(texts.toDF("a", "_pa", "_na"), "a").join(texts.toDF("b", "_pb", "_nb"), "b")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = []
@@ -320,6 +329,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "_pa", "_na", "_pb", "_nb").mapInArrow(run, "a long, b long, link boolean")
 
 
+@frugal
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joins a place's edges to stars around least vertices; tells which edges are new."""
     u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -384,6 +394,7 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
 def block_pairs(lists: DataFrame, places: int, buckets: int, block: int = 256) -> DataFrame:
     """All pairs of long lists that can link and lie in different components; blocks that cannot are skipped whole."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[np.zeros(0, np.int64)] for _ in range(5)]
         for b in batches:
@@ -419,12 +430,14 @@ def block_pairs(lists: DataFrame, places: int, buckets: int, block: int = 256) -
     return distinct_pairs(packed, places)
 
 
-def near_duplicates(df: DataFrame, key_column: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, key_column: str = "doc_id", text: str = "text", rows: bool = False) -> DataFrame:
     """Returns doc_id, n_shingles and component_id of every row.
 
     Texts that are null or have no words have no shingles and are their own
     component; rows with a null key link with nothing and have a null component.
-    Rows of one key share a component if their sets do.
+    Rows of one key share a component if their sets do.  With ``rows``, two more
+    columns tell texts of one key apart: ``row``, a hash of the text (a null text is
+    empty), and ``component_row``, that of the component's least key (and hash).
     """
     spark: SparkSession = df.sparkSession
     bound_batches(spark)
@@ -452,9 +465,10 @@ def near_duplicates(df: DataFrame, key_column: str = "doc_id", text: str = "text
         rest = block_pairs(with_components(lists, found), places, buckets).join(known, ["a", "b"], "left_anti")
         known = materialise(known.union(compared(rest, texts)))
     found = components(known.filter("link"))
-    whole = first.select("number", F.col("_at.doc_id").alias("doc_id")).join(found, "number", "left").withColumn("component", F.coalesce("component", "number"))
-    least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = whole.join(least, "component").select("number", "component_id")
+    whole = first.select("number", "_at.doc_id", "_at.row").join(found, "number", "left").withColumn("component", F.coalesce("component", "number"))
+    least = whole.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("_least"))
+    ids = whole.join(least, "component").select("number", F.col("_least.doc_id").alias("component_id"), F.col("_least.row").alias("component_row"))
     out = base.join(ids, "number", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"), "row", F.coalesce("component_row", "row").alias("component_row"))
+    return out if rows else out.drop("row", "component_row")

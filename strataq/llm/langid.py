@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strataq.llm.batch import chunks, column, text_bytes, widened
-from strataq.llm.shared import bound_batches
+from strataq.llm.shared import bound_batches, frugal
 
 ORDER, SYMBOLS, SCALE = 3, 48, 1024.0
 UNKNOWN = "und"
@@ -158,6 +158,7 @@ def identify_language(df: DataFrame, train: DataFrame, per_language: int = 400,
     frozen, key = df.sparkSession.sparkContext.broadcast(Trainer(rows).frozen()), uuid.uuid4().hex
     df = df.drop("lang_pred", "score")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_table(key, frozen.value)
         for b in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strataq.llm.batch import U, chunks, column, prefix_hash, span_hash, text_bytes, widened, word_spans
-from strataq.llm.shared import bound_batches
+from strataq.llm.shared import bound_batches, frugal
 
 BYTE_BITS, SHAPE_BITS = 17, 15
 DIMS = (1 << BYTE_BITS) + (1 << SHAPE_BITS)
@@ -152,6 +152,7 @@ def labelled_features(df: DataFrame, labels: DataFrame, most_rows: int, most_byt
     chosen = labels.filter(chance < min(1.0, most_rows / max(1, n))).groupBy(key_column).agg(F.max("_label").alias("_label"))
     found = df.select(key_column, text).filter(F.octet_length(text) <= most_bytes).join(F.broadcast(chosen), key_column).select(key_column, text, "_label")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -176,6 +177,7 @@ def quality_scores(df: DataFrame, train: DataFrame, labels: DataFrame, most_rows
     model = df.sparkSession.sparkContext.broadcast(fit(rows, y))
     df = df.drop("score")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from strataq.llm.batch import SpanCache, chunks, column, prefix_hash, span_hash, text_bytes, word_spans
 from strataq.llm.bpe import read_file
-from strataq.llm.shared import bound_batches
+from strataq.llm.shared import bound_batches, frugal
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _workers: dict[int, tuple] = {}
@@ -185,6 +185,7 @@ def pack(df: DataFrame, vocab_path: str, width: int = 4096, end_id: int = 2, sen
     content = read_file(vocab_path)
     spec, key = df.sparkSession.sparkContext.broadcast(content), zlib.crc32(content.encode())
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = word_tables(key, lambda: spec.value)
         packer = Packer(TaskContext.get().partitionId() << 36, width, sentence, inside, block)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strataq.llm.batch import column, widened
-from strataq.llm.shared import materialise
+from strataq.llm.shared import frugal, materialise
 
 BITS = 5
 
@@ -96,6 +96,7 @@ def hilbert_shards(df: DataFrame, shards: int = 8, key_column: str = "doc_id", t
     dims = len(cells)
     rows = rows.select("_key", "size", "text_crc32", "_group", "_bytes", *[c.cast("int").alias(f"_c{i}") for i, c in enumerate(cells)])
 
+    @frugal
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = np.stack([column(b, f"_c{i}").to_numpy() for i in range(dims)], axis=1)
@@ -106,6 +107,7 @@ def hilbert_shards(df: DataFrame, shards: int = 8, key_column: str = "doc_id", t
     order = ["curve", "_group", "_tie", "_key"]
     rows = rows.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
 
+    @frugal
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, cum, open_group, open_at = TaskContext.get().partitionId(), 0, 0, None, 0
         for b in batches:

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strataq.llm.batch import CHUNK, U, _Powers, chunks, column, flat_ranges, mix, prefix_hash, runs, span_hash, text_bytes
-from strataq.llm.shared import bound_batches, materialise
+from strataq.llm.shared import bound_batches, frugal, materialise
 
 GRAM, STEP, HOT, HOT_LEAST = 32, 5, 4, 256
 FLUSH_ANCHORS, FLUSH_DOCS, FLUSH_BYTES, FLUSH_ANSWERS, SLICE = 1_000_000, 60_000, 24 << 20, 1_000_000, 250_000
@@ -231,6 +231,7 @@ class Survey:
 def settle_survey(places: int):
     """Step 1 in a place: tells documents which of their anchors are shared, and names the range's hot anchors (bucket -1)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = Answers(places)
         for _, parts in keyed(batches, "place"):
@@ -264,6 +265,7 @@ def settle_survey(places: int):
     return run
 
 
+@frugal
 def known_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document's text that has shared anchors; hot anchors stand in rows without a key."""
     for bucket, parts in keyed(batches, "bucket"):
@@ -425,6 +427,7 @@ def longest_previous_factors(value: np.ndarray, lcp: np.ndarray, least: int = 1)
 def settle_contexts(places: int, width: int):
     """Step 3: tells documents which spans to remove."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers, codec = Answers(places), pa.Codec("zstd")
         for _, parts in keyed(batches, "place"):
@@ -469,6 +472,7 @@ def settle_contexts(places: int, width: int):
     return run
 
 
+@frugal
 def found_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document's text that loses bytes: its maximal spans as pairs of numbers."""
     for _, parts in keyed(batches, "bucket"):
@@ -521,6 +525,7 @@ def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
     docs = df.select(key, whole).withColumn("row", F.xxhash64("text")).filter(F.col("doc_id").isNotNull())
     full = df.select(key, whole, *more).withColumn("row", F.xxhash64("text"))
 
+    @frugal
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Survey(ranges, places)
         for b in batches:
@@ -543,6 +548,7 @@ def repeated_spans(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
     hot = np.sort(np.concatenate([NO_U, *(np.frombuffer(r[0], U) for r in known.filter("doc_id IS NULL").select("hashes").collect())]))
     hot = spark.sparkContext.broadcast(hot)
 
+    @frugal
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Contexts(ranges, places, width, hot.value)
         for b in batches:
@@ -585,6 +591,7 @@ def remove_repeats(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
     What is left of a character that loses some of its bytes is dropped too.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, removed = [], []
@@ -603,6 +610,7 @@ def remove_repeats(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
 def repeat_digests(df: DataFrame, width: int = 50, key_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
