@@ -18,6 +18,7 @@ from strataq.llm.packing import pack
 from strataq.llm.queries import WORD_VOCAB, vocab_file
 from strataq.llm.shared import checkpoint_folder
 from strataq.llm.suffixes import remove_repeats
+from strataq.sessions import remove_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one with the least key (rows that repeat a key entirely: one)."""
-    groups = near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    keyed = docs.filter(F.col("doc_id").isNotNull()).join(groups, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each group of near duplicates, that of the least key.
+
+    Texts of one key are told apart by a hash, so that a text goes only if one like it
+    stays; of rows that repeat key and text, one stays (a null text is empty).  Rows
+    without a key all stay.
+    """
+    mark = "_row"
+    while mark in docs.columns:
+        mark += "_"
+    groups = near_duplicates(docs, rows=True).filter((F.col("doc_id") != F.col("component_id")) | (F.col("row") != F.col("component_row")))
+    groups = groups.select("doc_id", F.col("row").alias(mark)).distinct()
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = marked.filter(F.col("doc_id").isNotNull()).join(groups, ["doc_id", mark], "left_anti").dropDuplicates(["doc_id", mark])
     return keyed.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
@@ -62,10 +73,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet to the shared folder and read again."""
+    """All stages over documents; each result is written as Parquet to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the last stays, for the result is read from it.
+    """
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
