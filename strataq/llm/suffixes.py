@@ -86,7 +86,8 @@ def anchors(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, n
     new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return doc[first], h[place[first]], starts[first], starts[last], place[first]
+    # Least hashes are small numbers: mixed again, they fill all ranges alike.
+    return doc[first], mix(h[place[first]] ^ U(0xA0761D6478BD642F)), starts[first], starts[last], place[first]
 
 
 def _by_range(h48: np.ndarray, ranges: int) -> np.ndarray:
