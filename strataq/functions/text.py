@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
@@ -75,6 +77,38 @@ MONTHS = (
     ("dicembre", "diciembre", "décembre", "decembre"),
 )
 
+# Patterns of names, addresses, numbers, dates, ages and kinds.
+NAME = r"\p{Lu}[\p{L}\p{N}_'-]*"
+EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+PHONE = r"(?U)(?<![\w@])(?:\+\d{1,3}[\s.-]?)?(?:\d[\s.-]?){6,}\d(?![\w@])"
+NUMBER = r"(?U)(?<![\w@])\d+(?:[.,]\d+)?(?![\w@])"
+ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
+AGE = r"(?U)\b(\p{Lu}[\p{L}\p{N}_'-]*)\b.{0,24}\b(?i:is|age|aged|ha|tiene|età|eta|edad|âge)\s+(?i:is\s+)?(\d{1,3})\b"
+CODE_WORDS = r"\b(defmodule|def |defp |function|class|import|const|let|var)\b"
+CODE_END = r"[{};]\s*$"
+TASK_WORDS = r"(?i)\b(todo|task|action item|next step|implement|verify)\b"
+CHAT_ROLES = r"(?i)\b(user|assistant|system):"
+
+# Small talk that a code agent's mission drops.
+SMALL_TALK = (*"hi hello hey thanks ok okay cool great nice awesome lol haha yep yes no sure roger".split(), "thank you", "sounds good", "got it")
+
+# What a cue holds that asks for a time, an action or a value.
+ASKS_WHEN = ("when", "quando", "cuándo", "quand", "wann")
+ASKS_ACTION = ("what", "did", "do", "cosa", "che", "quoi", "que", "qué")
+ASKS_VALUE = ("number", "phone", "telephone", "mobile", "age", "numero", "número", "telefono", "teléfono", "età", "eta", "edad", "âge")
+
+# Keys of structured inputs by role, and the relations that a graph may hold.
+ENTITY_KEYS = ("name", "person", "entity", "actor")
+TIME_KEYS = ("date", "time", "when", "inserted_at")
+VALUE_KEYS = ("age", "count", "amount", "number")
+PHONE_KEYS = ("phone", "telephone", "mobile")
+RELATIONS = ("actor", "acted_on", "happened_at", "has_value", "mentions_entity", "observed_in", "same_entity", "related_to")
+
+
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once: a one-element array binds it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
 
 def terms(text: Column, least: int = 2) -> Column:
     """Lower-cased words of at least ``least`` characters, repeats kept."""
@@ -102,8 +136,13 @@ def ascii_entities(text: Column) -> Column:
 
 def named_entities(text: Column) -> Column:
     """Distinct capitalised names, without the stop list."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b\p{Lu}[\p{L}\p{N}_'-]*\b"), F.lit(0)))
-    return F.array_except(found, F.array(*[F.lit(x) for x in STOP_ENTITIES]))
+    return F.array_distinct(names(text))
+
+
+def names(text: Column) -> Column:
+    """Capitalised names in order, repeats kept, without the stop list."""
+    stop = F.array(*[F.lit(x) for x in STOP_ENTITIES])
+    return F.filter(F.regexp_extract_all(text, F.lit(rf"\b{NAME}\b"), F.lit(0)), lambda x: ~F.array_contains(stop, x))
 
 
 def words(text: Column) -> Column:
@@ -121,14 +160,13 @@ def key_points(text: Column, most: int = 3) -> Column:
 
 def categories(text: Column) -> Column:
     """Labels whose rule words occur in the text, in the order of the rules."""
-    own = F.transform(words(text), F.lower)
-    labels = F.array(*[F.when(F.arrays_overlap(own, F.array(*[F.lit(w) for w in v.split()])), F.lit(k)) for k, v in CATEGORY_RULES.items()])
-    return F.array_compact(labels)
+    rule = lambda own, v: F.arrays_overlap(own, F.array(*[F.lit(w) for w in v.split()]))
+    labels = lambda own: F.array(*[F.when(rule(own, v), F.lit(k)) for k, v in CATEGORY_RULES.items()])
+    return F.array_compact(bound(F.transform(words(text), F.lower), labels))
 
 
 def chunk_categories(text: Column) -> Column:
-    found = categories(text)
-    return F.when(F.size(found) == 0, F.array(F.lit("note"))).otherwise(found)
+    return bound(categories(text), lambda found: F.when(F.size(found) == 0, F.array(F.lit("note"))).otherwise(found))
 
 
 def technical_categories(text: Column) -> Column:
@@ -148,9 +186,9 @@ def kind(text: Column) -> Column:
     t = F.trim(text)
     return (
         F.when((t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]")), F.lit("text"))
-        .when(t.rlike(r"\b(defmodule|def |defp |function|class|import|const|let|var)\b") | t.rlike(r"[{};]\s*$"), F.lit("code"))
-        .when(t.rlike(r"(?i)\b(todo|task|action item|next step|implement|verify)\b"), F.lit("task"))
-        .when(t.rlike(r"(?i)\b(user|assistant|system):"), F.lit("chat"))
+        .when(t.rlike(CODE_WORDS) | t.rlike(CODE_END), F.lit("code"))
+        .when(t.rlike(TASK_WORDS), F.lit("task"))
+        .when(t.rlike(CHAT_ROLES), F.lit("chat"))
         .when(F.lower(t).contains("prompt"), F.lit("prompt"))
         .otherwise(F.lit("text"))
     )
@@ -202,19 +240,43 @@ def claims(text: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
 
 
 def phones(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?U)(?<![\w@])(?:\+\d{1,3}[\s.-]?)?(?:\d[\s.-]?){6,}\d(?![\w@])"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
 
 
 def numbers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?U)(?<![\w@])\d+(?:[.,]\d+)?(?![\w@])"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+
+
+def ages(text: Column) -> Column:
+    """array of struct(name, age) that the text states."""
+    parts = [F.regexp_extract_all(text, F.lit(AGE), F.lit(i)) for i in (1, 2)]
+    return F.arrays_zip(parts[0].alias("name"), parts[1].alias("age"))
+
+
+def plain_numbers(text: Column) -> Column:
+    """Numbers that are no part of a phone number, an age or a date."""
+    taken = F.concat(phones(text), F.flatten(F.transform(phones(text), numbers)), F.transform(ages(text), lambda a: a["age"]))
+    dated = lambda x: F.contains(text, F.concat(x, F.lit("-"))) | F.contains(text, F.concat(F.lit("-"), x)) | F.regexp_like(text, F.concat(F.lit(r"\b"), F.replace(x, F.lit("."), F.lit(r"\.")), F.lit(r"\s+\p{L}+\s+\d{4}\b")))
+    return bound(taken, lambda out: F.filter(numbers(text), lambda x: ~F.array_contains(out, x) & ~dated(x)))
+
+
+def phone_display(phone: Column, mode: str = "classify") -> Column:
+    """How a phone number is shown: redacted, or as it is with mode raw."""
+    return phone if mode == "raw" else F.lit("[redacted phone]")
+
+
+def nearby_name(text: Column, at: Column) -> Column:
+    """The last name in the 40 characters before the first place of ``at``."""
+    before = F.right(F.call_function("substring_index", text, at, F.lit(1)), F.lit(40))
+    return bound(names(before), lambda found: F.get(found, F.size(found) - 1))
 
 
 def iso_dates(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(ISO_DATE), F.lit(0))
 
 
 def month_dates(text: Column) -> Column:
@@ -233,7 +295,7 @@ def month_dates(text: Column) -> Column:
 
 def events(text: Column) -> Column:
     """array of struct(actor, action, object) from actor-verb-object phrases."""
-    name = r"\p{Lu}[\p{L}\p{N}_'-]*"
+    name = NAME
 
     def scan(pattern: str) -> Column:
         parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
@@ -245,7 +307,6 @@ def events(text: Column) -> Column:
 def simhash(text: Column, bits: int = 32) -> Column:
     """A fingerprint of ASCII words of three characters or more; every occurrence votes, ties set the bit."""
     half, one, none = bits // 2, F.lit(1).cast("long"), F.lit(0).cast("long")
-    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  # a one-element array binds x once
     tokens = bound(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda x: F.length(x) >= 3), lambda own: F.when(F.size(own) == 0, F.array(text)).otherwise(own))
     hashes = F.transform(tokens, lambda x: F.conv(F.left(F.md5(x), F.lit(8)), 16, 10).cast("long"))
     # A long counts two bits, the upper half's in its upper 32 bits: a text has fewer words than that holds.
@@ -272,9 +333,42 @@ def hamming(a: Column, b: Column) -> Column:
 
 def chunks(text: Column, size: int = 180, overlap: int = 40) -> Column:
     """array of struct(start, words) of overlapping word windows; windows go on until words run out."""
-    own, step = words(text), size - overlap
-    n = F.size(own)
-    return F.when(n == 0, F.array()).otherwise(F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: F.struct(i.alias("start"), F.slice(own, i + 1, F.lit(size)).alias("words"))))
+    window = lambda own: lambda i: F.struct(i.alias("start"), F.slice(own, i + 1, F.lit(size)).alias("words"))
+    cut = lambda own: F.when(F.size(own) == 0, F.array()).otherwise(F.transform(F.sequence(F.lit(0), F.size(own) - 1, F.lit(size - overlap)), window(own)))
+    return bound(words(text), cut)
+
+
+def small_talk(text: Column) -> Column:
+    """Whether a text is small talk and nothing else."""
+    return F.regexp_replace(F.lower(F.trim(text)), r"[.!?]+$", "").isin(*SMALL_TALK)
+
+
+def small_talk(text: Column) -> Column:
+    """Whether a text is small talk and nothing else; full stops, then exclamation and question marks at its end don't count."""
+    return F.lower(F.regexp_replace(F.trim(text), r"\.*!*\?*$", "")).isin(*SMALL_TALK)
+
+
+def asks(cue: str, words_: tuple[str, ...]) -> bool:
+    """Whether a cue holds one of some words, anywhere."""
+    return any(w in cue.lower() for w in words_)
+
+
+def flat_pairs(json: Column, depth: int = 3) -> Column:
+    """Key-value pairs of a JSON object, those of nested objects in place of the objects; keys in lower case."""
+    entries = F.coalesce(F.map_entries(F.from_json(json, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
+    plain = lambda e: F.array(F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    if depth <= 1:
+        return F.flatten(F.transform(entries, plain))
+    return F.flatten(F.transform(entries, lambda e: F.when(F.startswith(e["value"], F.lit("{")), flat_pairs(e["value"], depth - 1)).otherwise(plain(e))))
+
+
+def secret_label(label: str | None) -> str:
+    return (label or "").strip() or "secret"
+
+
+def redacted(label: str | None) -> str:
+    """What stays readable of a secret."""
+    return f"secret: {secret_label(label)}"
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataq.functions import text as T
@@ -22,7 +24,7 @@ def rank_order() -> list[Column]:
 
 def searched(events: DataFrame, cue: str) -> DataFrame:
     """Score of each event: shared terms, phrase, type, usage and attention; type alone makes it positive but for markers."""
-    want = list(dict.fromkeys(w for w in __import__("re").split("[^a-z0-9_]+", cue.lower()) if len(w) >= 3))
+    want = list(dict.fromkeys(w for w in re.split("[^a-z0-9_]+", cue.lower()) if len(w) >= 3))
     shared = F.size(F.array_intersect(T.ascii_terms(F.col("text")), F.array(*[F.lit(w) for w in want]))) if want else F.lit(0)
     phrase = F.when(F.lit(cue != "") & F.contains(F.lower("text"), F.lit(cue.lower())), 4).otherwise(0)
     score = 3 * shared + phrase + F.floor(priority(F.col("type")) / 25) + F.least("usage", F.lit(5)) + F.floor(F.least(F.col("attention"), F.lit(5)))
@@ -66,3 +68,32 @@ def skills(texts: DataFrame) -> DataFrame:
     name = F.trim(F.get(F.split(first, r"(?<=[.!?])\s+", 2), F.lit(0)))
     steps = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_extract(x, MARKER + "(.+)$", 1))), lambda x: x != "")
     return texts.withColumn("name", name).withColumn("steps", F.when(F.size(steps) > 0, steps).otherwise(F.array(F.trim("text")))).filter("name <> ''")
+
+
+def normalised(events: DataFrame) -> DataFrame:
+    """Events with an id, a type (fact if there is none) and a text (else the summary, else the name), trimmed and cut at 2000 characters."""
+    have = lambda c, kind="string": F.col(c) if c in events.columns else F.lit(None).cast(kind)
+    text = F.left(F.trim(F.coalesce(have("text"), have("summary"), have("name"))), F.lit(2000))
+    out = events.select(have("id").alias("id"), F.coalesce(have("type"), F.lit("fact")).alias("type"), have("name").alias("name"), have("summary").alias("summary"), text.alias("text"), have("steps", "array<string>").alias("steps"), have("source_id").alias("source_id"), have("usage", "long").alias("usage"), have("attention", "double").alias("attention"))
+    return out.withColumn("id", F.coalesce("id", F.concat(F.lit("know_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))))
+
+
+def mental_models(rows: DataFrame, namespace: str, scope: str | None = None) -> DataFrame:
+    """(id, title, query, answer) of models from title, query and answer, or from a text alone: its first line is title and query, the whole the answer.
+
+    The id is a hash of partition, title and query, so that a model that is put again replaces itself.
+    """
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    title = F.coalesce(have("title"), T.title(F.coalesce(have("text"), F.lit("")), F.lit("mental model")))
+    out = rows.withColumns({"title": title, "answer": F.coalesce(have("answer"), have("text"))}).withColumn("query", F.coalesce(have("query"), F.col("title")))
+    content = F.concat_ws("\x1f", F.lit(namespace), F.coalesce(F.lit(scope), F.lit("-")), "title", "query")
+    return out.withColumn("id", F.concat(F.lit("mm_"), F.substring(F.sha2(content, 256), 1, 24)))
+
+
+def recipes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Action recipes of rows (memory_id, text, and perhaps language and intent), and the edges that attach them; recipes are data and never run."""
+    have = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in rows.columns else F.lit(other).cast("string")
+    rows = rows.filter(F.trim("text") != "")
+    content = F.concat_ws("\x1f", "memory_id", "text")
+    made = rows.select(F.concat(F.lit("act_"), F.substring(F.sha2(content, 256), 1, 24)).alias("id"), "memory_id", have("language", "text").alias("language"), "text", have("intent", None).alias("intent"), F.lit("stored").alias("status"))
+    return made, made.select(F.col("memory_id").alias("source_id"), F.lit("attached_action").alias("relation"), F.col("id").alias("target_id"), F.lit(1.0).alias("weight"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strataq.functions import text as T
+
 
 def confidence(base: Column, proofs: Column, against: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(0.98), base + proofs * 0.12 - against * 0.1))
@@ -69,3 +71,11 @@ def packet_confidence(n: Column) -> Column:
 
 def reflection_confidence(models: Column, observations: Column, memories: Column) -> Column:
     return F.when(models > 0, 0.9).when(observations > 0, F.least(F.lit(0.85), 0.4 + observations * 0.1)).when(memories > 0, F.least(F.lit(0.7), 0.25 + memories * 0.08)).otherwise(0.0)
+
+
+def overlap(statement: Column, cue: str) -> Column:
+    """Two for each keyword and three for each name, whatever its case, that a statement shares with a cue."""
+    low = lambda xs: F.transform(xs, F.lower)
+    keys = F.size(F.array_intersect(T.keywords(statement, 2), T.keywords(F.lit(cue), 2)))
+    names = F.size(F.array_intersect(F.array_distinct(low(T.entities(statement))), F.array_distinct(low(T.entities(F.lit(cue))))))
+    return 2 * keys + 3 * names

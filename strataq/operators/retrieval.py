@@ -7,30 +7,38 @@ but the aggregate's single rows and the top-k.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataq.functions import text as T
+from strataq.functions import vectors as V
 from strataq.functions.predicates import boost, visible
+from strataq.sessions import cut
 
 K1, B = 1.4, 0.75
 
 
 def cue_terms(cue: str, least: int = 2) -> list[str]:
     """Distinct terms of a cue, in order; the driver's twin of T.terms."""
-    import re
-
     seen = dict.fromkeys(w for w in re.split(r"[^\w]+", cue.lower()) if len(w) >= least)
     return list(seen)
 
 
 def with_frequencies(docs: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
-    """Adds _len and _tf, an array with the frequency of every cue term."""
-    own = T.terms(F.col(text))
-    out = docs.withColumn("_terms", own).withColumn("_len", F.size("_terms"))
-    tf = F.array(*[F.size(F.filter(F.col("_terms"), _is(t))) for t in terms])
-    return out.withColumn("_tf", tf.cast("array<int>")).drop("_terms")
+    """Adds _len, the number of terms, and _tf, an array with the frequency of every cue term.
+
+    A text is read twice by a pattern, whatever comes after: ``inline`` keeps filters and
+    aggregates from computing the two columns again.
+    """
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    length = F.regexp_count(low, F.lit(r"[\p{L}\p{N}_]{2,}"))
+    if not terms:
+        return docs.select("*", length.alias("_len"), F.array().cast("array<int>").alias("_tf"))
+    own = F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(map(re.escape, terms))})(?![\p{{L}}\p{{N}}_])"), F.lit(0))
+    tf = T.bound(own, lambda hits: F.array(*[F.size(F.filter(hits, _is(t))) for t in terms]))
+    return docs.select("*", F.inline(F.array(F.struct(length.alias("_len"), tf.alias("_tf")))))
 
 
 def _is(term: str):
@@ -56,23 +64,50 @@ def bm25(docs: DataFrame, cue: str, text: str = "text") -> DataFrame:
     return rows.withColumn("bm25", score).withColumn("exact", exact).drop("_tf", "_len")
 
 
-def hybrid(docs: DataFrame, cue: str, text: str = "text", state: str = "state") -> DataFrame:
-    """BM25, phrase, exact and lifecycle scores of all visible rows, where their sum is positive.
+def hybrid(docs: DataFrame, cue: str, text: str = "text", state: str = "state", vector: Sequence[float] | None = None) -> DataFrame:
+    """BM25, phrase, exact and lifecycle scores of all visible rows, where their sum is positive; with a cue's vector, that of the column ``vector`` too.
 
     Hidden rows leave before statistics are taken.  The lifecycle boost is added
     before the test, so boosted rows show up for any cue.
     """
     rows = bm25(docs.filter(visible(F.col(state))), cue, text)
     phrase = F.when(F.lit(cue != "") & F.contains(F.lower(F.col(text)), F.lit(cue.lower())), 4.0).otherwise(0.0)
-    total = F.col("bm25") + phrase + 1.5 * F.col("exact") + boost(F.col(state))
+    total = F.col("bm25") + phrase + 1.5 * F.col("exact") + boost(F.col(state)) + _semantic(vector)
     return rows.withColumn("phrase", phrase).withColumn("score", total).filter("score > 0")
 
 
+def _semantic(vector: Sequence[float] | None, otherwise: Column | None = None) -> Column:
+    """The vector score of rows that have a vector, if the cue has one."""
+    none = F.lit(0.0) if otherwise is None else otherwise
+    if vector is None:
+        return none
+    cue = F.array(*[F.lit(float(x)) for x in vector])
+    return F.when(F.col("vector").isNotNull(), V.vector_score(F.col("vector"), cue)).otherwise(none)
+
+
+def fingerprint_score(fingerprint: Column, cue: str) -> Column:
+    """Four times the similarity of fingerprints, if it is 0.62 or more."""
+    like = 1 - T.hamming(fingerprint, T.simhash(F.lit(cue))) / 32
+    return F.when(like >= 0.62, 4 * like).otherwise(0.0)
+
+
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of a total order, with their rank from 1; the window sees k rows."""
     return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """All rows of a total order with their rank from 1: rows are sorted by range and counted by partition, not in one task."""
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")))
+    before, starts = 0, []
+    for p, n in sorted(rows.groupBy("_p").count().collect()):  # one row for each partition
+        starts += [F.lit(p), F.lit(before)]
+        before += n
+    if not starts:
+        return rows.drop("_p", "_i").withColumn("rank", F.lit(1).cast("long"))
+    return rows.withColumn("rank", (F.create_map(*starts)[F.col("_p")] + F.col("_i") + 1).cast("long")).drop("_p", "_i")
+
+
 def fuse(lists: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of (key, rank) lists; rows without a key go."""
     rows = lists[0].select(key, "rank")
@@ -84,39 +119,48 @@ def fuse(lists: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:
 def budgeted(groups: DataFrame, budget: int) -> DataFrame:
     """Of (grp, pos, cost) rows, those that fit: group by group in order, each stopping at its first misfit.
 
-    An item larger than the budget is taken only while nothing is.  Within a group
-    the kept rows are a prefix, so running sums decide; what is used carries over
-    from group to group, and groups are few.  Costs are at least 1, so a prefix that
-    fits has no more rows than the budget: the window need not see the others.
+    An item larger than the budget is taken only while nothing is.  Costs are at least 1,
+    so a prefix that fits has no more rows than the budget: of each group, the window need
+    not see the others.  What is used carries over from group to group; a group's part of
+    it depends on how much the groups before it have left, so that the fold over groups
+    goes over the running sums of each, which are bounded by the budget.
     """
     w = Window.partitionBy("grp").orderBy("pos")
-    rows = groups.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(budget, 1)).drop("_n")
-    rows = rows.withColumn("_sum", F.sum("cost").over(w))
-    used, parts = 0, []
-    for g in [r[0] for r in groups.select("grp").distinct().orderBy("grp").collect()]:
-        own = rows.filter(F.col("grp") == g)
-        if used == 0:
-            head = own.orderBy("pos").first()
-            if head["cost"] > budget:
-                parts.append(own.filter(F.col("pos") == head["pos"]))
-                used += head["cost"]
-                continue
-        kept = own.filter(F.col("_sum") <= budget - used)
-        used += kept.agg(F.sum("cost")).first()[0] or 0
-        parts.append(kept)
-    out = parts[0] if parts else rows.limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_sum")
-
-
-def active_scores(moments: DataFrame, cue: str, text: str = "text") -> DataFrame:
-    """Two for each shared keyword, three for each shared entity, two for a status question about a task; attention is added to matches."""
-    import re
-
+    rows = groups.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(budget, 1))
+    rows = rows.withColumn("_sum", F.sum("cost").over(w)).filter((F.col("_sum") <= budget) | (F.col("_n") == 1))
+    sums = rows.groupBy("grp").agg(F.array_sort(F.collect_list("_sum")).alias("_sums"))
+    used = lambda a: F.coalesce(a["used"], F.lit(0).cast("long"))
+
+    def step(a: Column, g: Column) -> Column:
+        left = budget - used(a)
+        fits = F.coalesce(F.array_max(F.filter(g["_sums"], lambda s: s <= left)), F.lit(0).cast("long"))
+        first = F.get(g["_sums"], F.lit(0))
+        over = (used(a) == 0) & (first > budget)
+        take = F.when(over, first).otherwise(fits)
+        return F.struct((used(a) + take).alias("used"), F.concat(a["takes"], F.array(F.struct(g["grp"].alias("grp"), take.alias("take")))).alias("takes"))
+
+    kind = f"array<struct<grp:{groups.schema['grp'].dataType.simpleString()},take:bigint>>"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("takes"))
+    # A sum or two for each group, in order.
+    folded = sums.agg(F.aggregate(F.array_sort(F.collect_list(F.struct("grp", "_sums"))), start, step).alias("_f")).select(F.inline("_f.takes"))
+    return rows.join(F.broadcast(folded), "grp").filter(F.col("_sum") <= F.col("take")).drop("_n", "_sum", "take")
+
+
+def active_scores(moments: DataFrame, cue: str, text: str = "text", vector: Sequence[float] | None = None) -> DataFrame:
+    """Two for each shared keyword, three for each shared entity, two for a status question about a task; attention is added to matches.
+
+    Rows with keywords, entities, vectors or fingerprints of their own are scored by
+    these: a vector by cosine and sign bits, a row without one by its fingerprint.
+    """
     keys = cue_terms(cue, 3)
     names = list(dict.fromkeys(w for w in re.split(r"[^\w]+", cue) if len(w) >= 2 and w[0].isupper()))
-    shared = lambda own, want: F.size(F.array_intersect(own, F.array(*[F.lit(x) for x in want]))) if want else F.lit(0)
+    own = lambda name, made: F.coalesce(F.col(name), made) if name in moments.columns else made
+    shared = lambda have, want: F.size(F.array_intersect(have, F.array(*[F.lit(x) for x in want]))) if want else F.lit(0)
     status = F.lit(2 if "how" in cue.lower() and "going" in cue.lower() else 0)
-    match = 2 * shared(T.keywords(F.col(text)), keys) + 3 * shared(T.entities(F.col(text)), names) + F.when(F.col("task_id").isNotNull(), status).otherwise(0)
-    return moments.withColumn("match", match).withColumn("score", F.when(match > 0, match + F.col("attention")).otherwise(0.0)).filter("score > 0")
+    alike = F.lit(0.0)
+    if "fingerprint" in moments.columns and keys:
+        alike = F.coalesce(fingerprint_score(F.col("fingerprint"), cue), F.lit(0.0))
+    if "vector" in moments.columns:
+        alike = _semantic(vector, alike)
+    match = 2 * shared(own("keywords", T.keywords(F.col(text))), keys) + 3 * shared(own("entities", T.entities(F.col(text))), names) + alike + F.when(F.col("task_id").isNotNull(), status).otherwise(0)
+    return moments.withColumn("match", match).withColumn("score", F.when(F.col("match") > 0, F.col("match") + F.col("attention")).otherwise(0.0)).filter("score > 0")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from strataq.functions import text as T
@@ -38,7 +36,7 @@ def typed_observations(spark, sf_dir):
     return O.typed_observations(claims).select("type", "statement", "proof_count", F.round("confidence", 6).alias("confidence"), "state")
 
 
-@query("verify_observation", f"""WITH e AS (SELECT CAST(user_id AS BIGINT) AS key, event_id AS seq, CASE event_type WHEN 'click' THEN 'supports' WHEN 'view' THEN 'weakens' WHEN 'error' THEN 'contradicts' ELSE 'neutral' END AS relation FROM events WHERE event_id % 5 = 0),
+@query("verify_observation", f"""WITH e AS (SELECT CAST(user_id AS BIGINT) AS key, event_id AS seq, CASE event_type WHEN 'click' THEN 'supports' WHEN 'view' THEN 'weakens' WHEN 'error' THEN 'contradicts' ELSE 'neutral' END AS relation FROM events),
     a AS (SELECT key, list(CASE relation WHEN 'supports' THEN 0.08 WHEN 'weakens' THEN -0.08 WHEN 'contradicts' THEN -0.16 ELSE 0.0 END::DOUBLE ORDER BY seq) AS moves, count(*) FILTER (relation = 'supports') + 1 AS p, count(*) FILTER (relation IN ('weakens', 'contradicts')) AS c, max_by(relation, seq) AS last FROM e GROUP BY key)
     SELECT key, p AS proof_count, c AS contradiction_count, round(list_reduce([0.5::DOUBLE] || moves, lambda a, x: greatest(0.0::DOUBLE, least(0.98::DOUBLE, a + x))), 6) AS confidence, CASE last WHEN 'supports' THEN 'strengthening' WHEN 'weakens' THEN 'weakening' WHEN 'contradicts' THEN 'contradicted' ELSE 'stable' END AS trend, {STATE_SQL.format(p='p', c='c')} AS state FROM a""")
 def verify_observation(spark, sf_dir):
@@ -56,14 +54,14 @@ def observation_search(spark, sf_dir):
     return Q.top(rows, 20, F.desc("score"), F.col("statement")).drop("rank")
 
 
-MODELS_SQL = "(SELECT 'mm_' || substr(sha256('main:' || p_brand || ':' || p_type), 1, 24) AS id, p_brand || ' ' || p_type AS query, string_agg(p_name, '; ' ORDER BY p_partkey) AS answer, count(*) AS sources FROM part GROUP BY p_brand, p_type)"
+MODELS_SQL = "(SELECT 'mm_' || substr(sha256('main' || chr(31) || '-' || chr(31) || p_brand || chr(31) || p_brand || ' ' || p_type), 1, 24) AS id, p_brand AS title, p_brand || ' ' || p_type AS query, string_agg(p_name, '; ' ORDER BY p_partkey) AS answer FROM part GROUP BY p_brand, p_type)"
 
 
 def models(spark, sf_dir):
-    """What is known of a brand and type, with a content id."""
-    g = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("_p"), F.count(F.lit(1)).alias("sources"))
-    content = F.concat(F.lit("main:"), "p_brand", F.lit(":"), "p_type")
-    return g.select(F.concat(F.lit("mm_"), F.substring(F.sha2(content, 256), 1, 24)).alias("id"), F.concat("p_brand", F.lit(" "), "p_type").alias("query"), F.array_join(F.transform("_p", lambda x: x["p_name"]), "; ").alias("answer"), "sources")
+    """What is known of a brand and type."""
+    g = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("_p"))
+    rows = g.select(F.col("p_brand").alias("title"), F.concat("p_brand", F.lit(" "), "p_type").alias("query"), F.array_join(F.transform("_p", lambda x: x["p_name"]), "; ").alias("answer"))
+    return K.mental_models(rows, "main").select("id", "title", "query", "answer")
 
 
 @query("mental_models", f"SELECT * FROM {MODELS_SQL}")
@@ -132,7 +130,7 @@ def knowledge_compact(spark, sf_dir):
 
 @query("knowledge_normalise", f"SELECT id, left(trim(coalesce(summary, name, text), ' '), 2000) AS text, coalesce(type, 'fact') AS type FROM {EVENTS_SQL}")
 def knowledge_normalise(spark, sf_dir):
-    return events(spark, sf_dir).select("id", F.left(F.trim(F.coalesce("summary", "name", "text")), F.lit(2000)).alias("text"), F.coalesce("type", F.lit("fact")).alias("type"))
+    return K.normalised(events(spark, sf_dir).withColumn("text", F.coalesce("summary", "name", "text"))).select("id", "text", "type")
 
 
 @query("learn_skills", "SELECT CAST(p_partkey AS BIGINT) AS id, 'Pack ' || p_name || '.' AS name, 'open ' || p_type || '|close ' || p_brand AS steps FROM part")
@@ -142,7 +140,7 @@ def learn_skills(spark, sf_dir):
     return rows.select("id", "name", F.array_join(F.slice("steps", 2, 10), "|").alias("steps"))
 
 
-COST_SQL = f"(SELECT id AS pos, CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN 2 ELSE 3 END AS grp, greatest(1, CAST(floor(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) * 4 / 3) AS BIGINT)) AS cost FROM {PHRASES_SQL} WHERE id <= 600)"
+COST_SQL = f"(SELECT id AS pos, CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN 2 ELSE 3 END AS grp, greatest(1, CAST(floor(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) * 4 / 3) AS BIGINT)) AS cost FROM {PHRASES_SQL})"
 
 
 @query("token_budget", f"""WITH s AS (SELECT *, sum(cost) OVER (PARTITION BY grp ORDER BY pos) AS run FROM {COST_SQL}),
@@ -159,21 +157,20 @@ def token_budget(spark, sf_dir):
     SELECT a.doc_id, a.id AS a, b.id AS b, round(len(list_intersect(a.terms, b.terms)) / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))), 6)::DOUBLE AS weight, row_number() OVER (PARTITION BY a.doc_id ORDER BY weight DESC, a.id, b.id) AS rank
     FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.id < b.id WHERE len(list_intersect(a.terms, b.terms)) > 0 AND round(len(list_intersect(a.terms, b.terms)) / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))), 6) >= 0.18 QUALIFY rank <= 40""")
 def related_chunks(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select("doc_id", F.inline(T.chunks(F.col("text"))))
-    c = c.select("doc_id", F.floor(F.col("start") / 140).alias("id"), T.keywords(F.array_join("words", " ")).alias("terms"))
-    return I.related(c, ["doc_id"])
+    own = F.transform(T.chunks(F.col("text")), lambda c: F.struct(F.floor(c["start"] / 140).alias("id"), T.keywords(F.array_join(c["words"], " ")).alias("terms")))
+    pairs = T.bound(own, lambda chunks: I.related(chunks))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pairs).alias("rank", "p"))
+    return rows.select("doc_id", "p.a", "p.b", "p.weight", (F.col("rank") + 1).cast("long").alias("rank"))
 
 
-@query("cross_memory", r"""WITH m AS (SELECT conv_id, CAST(turn AS BIGINT) AS id, role, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 3)) AS k FROM conversations)
-    SELECT a.conv_id, a.id AS a, b.id AS b, round(least(1.0, len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) + CASE WHEN a.role = b.role THEN 0.12 ELSE 0 END), 6)::DOUBLE AS score FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.id < b.id WHERE len(list_intersect(a.k, b.k)) > 0 AND score >= 0.24""")
+@query("cross_memory", r"""WITH m AS (SELECT conv_id, CAST(conv_id * 100 + turn AS BIGINT) AS id, turn, conv_id % 7 AS task, role, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 3)) AS k, list_distinct(list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{Lu}[\p{L}\p{N}_]+'))) AS e FROM conversations),
+    p AS (SELECT a.conv_id AS root_id, a.id AS source_id, b.id AS target_id, len(list_intersect(a.k, b.k)) AS ki, len(a.k) + len(b.k) AS kn, len(list_intersect(a.e, b.e)) AS ei, len(a.e) + len(b.e) AS en, CASE WHEN a.role = b.role THEN 1 ELSE 0 END AS c, CASE WHEN a.task = b.task THEN 0.12 ELSE 0 END AS t FROM m a JOIN m b ON a.conv_id <> b.conv_id WHERE a.turn = 0)
+    SELECT root_id, source_id, target_id, round(least(1.0, greatest(ki / greatest(1, kn - ki), ei / greatest(1, en - ei)) + 0.25 * c + t), 6)::DOUBLE AS weight FROM p WHERE ki + ei + c > 0 AND weight >= 0.24 QUALIFY row_number() OVER (PARTITION BY root_id ORDER BY weight DESC, source_id, target_id) <= 20""")
 def cross_memory(spark, sf_dir):
-    m = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("id"), "role", T.keywords(F.col("text")).alias("terms"))
-    pairs = I.shared_terms(m, ["conv_id"])
-    n = m.select("conv_id", "id", "role", F.size("terms").alias("n"))
-    rows = pairs.join(n.toDF("conv_id", "a", "ra", "na"), ["conv_id", "a"]).join(n.toDF("conv_id", "b", "rb", "nb"), ["conv_id", "b"])
-    alike = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    score = I.relationship(alike, F.lit(0.0), F.lit(0.0), F.col("ra") == F.col("rb"))
-    return rows.select("conv_id", "a", "b", F.round(score, 6).alias("score")).filter("score >= 0.24")
+    """Links from each conversation's first turn to turns of others: keywords, entities, categories (here the role) and task."""
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select((F.col("conv_id") * 100 + F.col("turn")).cast("long").alias("id"), F.col("conv_id").alias("root_id"), (F.col("conv_id") % 7).cast("string").alias("task_id"), T.keywords(F.col("text")).alias("keywords"), T.entities(F.col("text")).alias("entities"), F.array("role").alias("categories"), "turn")
+    return I.cross_links(rows.filter("turn = 0"), rows).select("root_id", "source_id", "target_id", "weight")
 
 
 @query("same_entity", "SELECT lower(p_brand) AS canonical, min(CAST(p_partkey AS BIGINT)) OVER (PARTITION BY p_brand) AS source_id, CAST(p_partkey AS BIGINT) AS target_id FROM part QUALIFY source_id < target_id")
@@ -181,46 +178,6 @@ def same_entity(spark, sf_dir):
     return I.same_entity(table(spark, sf_dir, "part").select(F.lower("p_brand").alias("canonical"), F.col("p_partkey").cast("long").alias("id")))
 
 
-@query("extraction_graph", "SELECT CAST(n_nationkey AS BIGINT) AS id, rel AS relation, CASE rel WHEN 'actor' THEN lower(n_name) WHEN 'acted_on' THEN lower(r_name) ELSE '2026-' || lpad(CAST(1 + n_nationkey % 12 AS VARCHAR), 2, '0') || '-10' END AS target FROM nation JOIN region ON n_regionkey = r_regionkey, (SELECT unnest(['actor', 'acted_on', 'happened_at']) AS rel)")
-def extraction_graph(spark, sf_dir):
-    """Edges of the events in a text: who, on whom, when."""
-    from strataq.plans.text_queries import calls
-
-    # The names have spaces, which end an entity; joined here so that each is one word.
-    rows = calls(spark, sf_dir).select("id", F.get(T.iso_dates(F.col("text")), F.lit(0)).alias("day"), F.split("text", " called ")[0].alias("who"), F.regexp_extract("text", r" called (.*) on 2026", 1).alias("whom"))
-    edges = F.array(F.struct(F.lit("actor").alias("relation"), F.lower("who").alias("target")), F.struct(F.lit("acted_on").alias("relation"), F.lower("whom").alias("target")), F.struct(F.lit("happened_at").alias("relation"), F.col("day").alias("target")))
-    return rows.select("id", F.inline(edges))
-
-
-@query("structured_rerank", "SELECT CAST(p_partkey AS BIGINT) AS id, greatest(base, extra)::DOUBLE AS score FROM (SELECT p_partkey, CAST(p_size % 4 AS DOUBLE) AS base, CASE WHEN p_partkey % 4 = 0 AND contains('when did brand#11 and brand#12 meet', lower(p_brand)) THEN 8.0 WHEN p_partkey % 4 = 1 AND p_size > 25 THEN 6.0 WHEN p_partkey % 4 = 2 THEN 4.0 ELSE 0.0 END AS extra FROM part)")
-def structured_rerank(spark, sf_dir):
-    """Entities named by the cue, events of a when-question, and times lift a memory to a floor."""
-    cue = "when did brand#11 and brand#12 meet"
-    kind, attention = F.col("p_partkey") % 4, 1.0
-    extra = F.when((kind == 0) & F.contains(F.lit(cue), F.lower("p_brand")), 7 + attention).when((kind == 1) & (F.col("p_size") > 25), 5 + attention).when(kind == 2, 3 + attention).otherwise(0.0)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.greatest((F.col("p_size") % 4).cast("double"), extra).alias("score"))
-
-
-@query("merged_search", "SELECT source, id, score FROM (SELECT 'active' AS source, CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS BIGINT) AS score FROM part UNION ALL SELECT 'durable', CAST(s_suppkey AS BIGINT), CAST(s_suppkey % 60 AS BIGINT) FROM supplier) ORDER BY score DESC, source, id LIMIT 30")
-def merged_search(spark, sf_dir):
-    a = table(spark, sf_dir, "part").select(F.lit("active").alias("source"), F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("long").alias("score"))
-    b = table(spark, sf_dir, "supplier").select(F.lit("durable").alias("source"), F.col("s_suppkey").cast("long").alias("id"), (F.col("s_suppkey") % 60).cast("long").alias("score"))
-    return Q.top(a.unionByName(b), 30, F.desc("score"), F.col("source"), F.col("id")).drop("rank")
-
-
-@query("eval_hit_rate", "SELECT label, count(*) AS n, round(avg(CASE WHEN p_size > 10 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_rate FROM (SELECT p_size, CASE WHEN p_partkey % 3 = 0 THEN 'fact' ELSE 'note' END AS label FROM part) GROUP BY label")
-def eval_hit_rate(spark, sf_dir):
-    label = F.when(F.col("p_partkey") % 3 == 0, "fact").otherwise("note").alias("label")
-    return table(spark, sf_dir, "part").groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("p_size") > 10).cast("double")), 6).alias("hit_rate"))
-
-
-@query("record_envelopes", "SELECT CAST(c_custkey AS BIGINT) AS id, 'main:' || substr(sha256(c_mktsegment), 1, 16) || ':moments:put:' || c_custkey AS dedupe_key, md5(c_name) AS digest FROM customer")
-def record_envelopes(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    key = F.concat_ws(":", F.lit("main"), F.substring(F.sha2("c_mktsegment", 256), 1, 16), F.lit("moments"), F.lit("put"), F.col("c_custkey").cast("string"))
-    return c.select(F.col("c_custkey").cast("long").alias("id"), key.alias("dedupe_key"), F.md5("c_name").alias("digest"))
-
-
 @query("event_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def event_props(spark, sf_dir):
     """A key of structured payloads, read without a fixed schema."""
@@ -235,20 +192,10 @@ def signal_routing(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", lane.alias("lane"))
 
 
-@query("secret_roundtrip", "SELECT CAST(c_custkey AS BIGINT) AS id, 'secret: account' AS text, c_name AS revealed FROM customer")
-def secret_roundtrip(spark, sf_dir):
-    """Encrypts with AES-GCM under a bound context and reveals again; only a label stays readable."""
-    key, aad = F.lit(b"0123456789abcdef0123456789abcdef"), F.concat(F.lit("main:secret:account:"), F.col("c_custkey").cast("string"))
-    sealed = F.aes_encrypt(F.col("c_name"), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"").cast("binary"), aad)
-    c = table(spark, sf_dir, "customer").select("c_custkey", sealed.alias("sealed"), aad.alias("aad"))
-    opened = F.aes_decrypt("sealed", key, F.lit("GCM"), F.lit("DEFAULT"), "aad").cast("string")
-    return c.select(F.col("c_custkey").cast("long").alias("id"), F.lit("secret: account").alias("text"), opened.alias("revealed"))
-
-
 @query("streaming_status", f"SELECT id, max_by(family, seq) AS status, max(seq) AS seq FROM {LOG_SQL} GROUP BY id")
 def streaming_status(spark, sf_dir):
     e = S.read_events(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
-    return S.drain(S.running_status(e), "complete", f"status_{uuid.uuid4().hex}")
+    return S.drain(S.running_status(e), "complete", ["id"])
 
 
 @query("streaming_lifecycle", f"SELECT memory_id, list_reduce(['none'] || list(state ORDER BY seq), lambda a, s: CASE WHEN {GOES_SQL} THEN s ELSE a END) AS state FROM {MOVE_SQL} GROUP BY memory_id")
@@ -256,10 +203,25 @@ def streaming_lifecycle(spark, sf_dir):
     kind = F.col("event_type")
     state = F.when(kind == "view", "short_term").when(kind == "click", "promoted").when(kind == "signup", "candidate").when(kind == "purchase", "stale").otherwise(F.when(F.col("event_id") % 3 == 0, "contradicted").otherwise("pinned"))
     m = S.read_events(spark, sf_dir, "events").select((F.col("user_id") * 10 + F.col("event_id") % 10).cast("long").alias("memory_id"), F.col("event_id").alias("seq"), state.alias("state"))
-    return S.drain(S.lifecycle(m), "update", f"life_{uuid.uuid4().hex}")
+    return S.drain(S.lifecycle(m), "update", ["memory_id"])
 
 
 @query("streaming_idempotent", f"SELECT dedupe_key, seq, digest FROM {LOG_SQL} QUALIFY lag(digest) OVER (PARTITION BY dedupe_key ORDER BY seq) IS DISTINCT FROM digest")
 def streaming_idempotent(spark, sf_dir):
     e = S.read_events(spark, sf_dir, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("dedupe_key"), F.col("event_id").alias("seq"), F.md5("props").alias("digest"))
-    return S.drain(S.idempotent(e), "append", f"once_{uuid.uuid4().hex}")
+    return S.drain(S.idempotent(e), "append", ["dedupe_key"])
+
+
+@query("streaming_facts")
+def streaming_facts(spark, sf_dir):
+    """What statements of facts lead to as they come in; events stand for statements, their type for the value."""
+    e = S.read_events(spark, sf_dir, "events")
+    told = e.select(F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit(":status")).alias("fact_key"), F.col("event_id").alias("seq"), F.lit("claim").alias("kind"), F.col("event_id").cast("string").alias("memory_id"), F.col("event_type").alias("value"), F.lit("short_term").alias("state"))
+    return S.drain(S.facts(told), "append", ["fact_key"])
+
+
+@query("streaming_lanes", "SELECT event_id, event_type AS lane, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events")
+def streaming_lanes(spark, sf_dir):
+    """Each lane's events in order, numbered one by one."""
+    e = S.read_events(spark, sf_dir, "events").select(F.col("event_type").alias("lane"), F.col("event_id").alias("seq"))
+    return S.drain(S.lanes(e), "append", ["lane"]).select(F.col("seq").alias("event_id"), "lane", "place")

@@ -213,11 +213,6 @@ def semantic_select(spark, sf_dir):
     return L.strongest(log(spark, sf_dir), F.col("value")).select("seq", F.round("priority", 6).alias("priority"))
 
 
-@query("semantic_summary", f"SELECT family, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, count(DISTINCT id) AS sources FROM {LOG_SQL} GROUP BY family")
-def semantic_summary(spark, sf_dir):
-    return log(spark, sf_dir).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.countDistinct("id").alias("sources"))
-
-
 @query("hot_eviction", f"SELECT family, seq FROM {LOG_SQL} QUALIFY row_number() OVER (PARTITION BY family ORDER BY seq DESC) <= 1000")
 def hot_eviction(spark, sf_dir):
     return L.newest(log(spark, sf_dir), ["family"], 1000).select("family", "seq")
@@ -228,20 +223,6 @@ def status_latest(spark, sf_dir):
     return log(spark, sf_dir).groupBy("id").agg(F.max_by("family", "seq").alias("status"), F.max("seq").alias("seq"))
 
 
-@query("recent_context", "SELECT conv_id, turn, count(*) OVER w AS n, coalesce(sum(length(text)) OVER w, 0)::BIGINT AS chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)")
-def recent_context(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-12, -1)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.count("turn").over(w).alias("n"), F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).cast("long").alias("chars"))
-
-
-@query("turn_projection", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS turns FROM conversations GROUP BY conv_id")
-def turn_projection(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count(F.lit(1)).alias("turns"))
-    return c.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"), "turns")
-
-
 MOVE_SQL = "(SELECT CAST(user_id * 10 + event_id % 10 AS BIGINT) AS memory_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'short_term' WHEN 'click' THEN 'promoted' WHEN 'signup' THEN 'candidate' WHEN 'purchase' THEN 'stale' ELSE CASE WHEN event_id % 3 = 0 THEN 'contradicted' ELSE 'pinned' END END AS state FROM events)"
 
 
@@ -361,26 +342,8 @@ def connected_components(spark, sf_dir):
 
 @query("window_summary", f"{TREE_SQL} SELECT component, count(*) AS size, max(node) AS newest, min(node) AS oldest, CASE WHEN count(DISTINCT c_mktsegment) > 1 THEN 'mixed' ELSE min(c_mktsegment) END AS stream, row_number() OVER (ORDER BY max(node) DESC) AS win FROM top JOIN customer ON node = c_custkey GROUP BY component")
 def window_summary(spark, sf_dir):
-    from pyspark.sql import Window
-
     c, e = tree(spark, sf_dir)
     lanes = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("node"), "c_mktsegment")
     w = R.components(c, e).join(lanes, "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max("node").alias("newest"), F.min("node").alias("oldest"), F.min("c_mktsegment").alias("_a"), F.max("c_mktsegment").alias("_b"))
-    return w.select("component", "size", "newest", "oldest", F.when(F.col("_a") != F.col("_b"), "mixed").otherwise(F.col("_a")).alias("stream"), F.row_number().over(Window.orderBy(F.desc("newest"))).cast("long").alias("win"))
-
-
-@query("cascade_forget", "WITH c AS (SELECT c_custkey FROM customer WHERE c_acctbal < -900), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)) SELECT 'customer' AS family, CAST(c_custkey AS VARCHAR) AS id FROM c UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM o UNION ALL SELECT 'lineitem', l_orderkey || '-' || l_linenumber FROM l")
-def cascade_forget(spark, sf_dir):
-    """Tombstones for what is forgotten and for all that refers to it."""
-    c = table(spark, sf_dir, "customer").filter("c_acctbal < -900").select("c_custkey")
-    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
-    l = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("l_orderkey", "l_linenumber")  # noqa: E741
-    grave = lambda df, family, key: df.select(F.lit(family).alias("family"), key.alias("id"))
-    return grave(c, "customer", F.col("c_custkey").cast("string")).unionByName(grave(o, "orders", F.col("o_orderkey").cast("string"))).unionByName(grave(l, "lineitem", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))))
-
-
-@query("artifacts_2hop", f"WITH e AS {EDGES_SQL} SELECT DISTINCT b.target_id AS artifact FROM e a JOIN e b ON a.target_id = b.source_id WHERE a.source_id IN ('c7', 'c9', 'p3')")
-def artifacts_2hop(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    first = e.join(F.broadcast(seeds(spark, "c7", "c9", "p3").withColumnRenamed("node", "source_id")), "source_id", "left_semi")  # three rows
-    return first.select(F.col("target_id").alias("_via")).distinct().join(e, F.col("_via") == e.source_id).select(F.col("target_id").alias("artifact")).distinct()
+    rows = Q.numbered(w, F.desc("newest"))
+    return rows.select("component", "size", "newest", "oldest", F.when(F.col("_a") != F.col("_b"), "mixed").otherwise(F.col("_a")).alias("stream"), F.col("rank").alias("win"))

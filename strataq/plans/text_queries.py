@@ -160,13 +160,6 @@ def email_extract(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.explode(T.emails(F.col("text"))).alias("email")).groupBy("doc_id", "email").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("phone_extract")
-def phone_extract(spark, sf_dir):
-    """Phone numbers are found and redacted; only their count leaves."""
-    p = T.phones(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", count(p).alias("n"), F.array_join(F.transform(p, lambda x: F.lit("[redacted phone]")), "|").alias("shown")).filter("n > 0")
-
-
 @query("number_extract", r"SELECT id, array_to_string(regexp_extract_all(text, '\b\d+\b'), ' ') AS numbers FROM (SELECT CAST(o_orderkey AS BIGINT) AS id, 'Order ' || o_orderkey || ' of customer ' || o_custkey || ' is ' || o_orderstatus AS text FROM orders)")
 def number_extract(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -205,7 +198,7 @@ def named_entities(spark, sf_dir):
 
 
 SIMHASH_SQL = "list_reduce([0] || list_transform(range(0, 32), lambda i: CASE WHEN list_sum(list_transform(h, lambda x: CASE WHEN (x >> CAST(i AS INTEGER)) & 1 = 1 THEN 1 ELSE -1 END)) >= 0 THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END), lambda a, b: a + b)"
-FINGER_SQL = f"(SELECT doc_id, CAST({SIMHASH_SQL} AS BIGINT) AS fingerprint FROM (SELECT doc_id, list_transform(CASE WHEN len(t) = 0 THEN [text] ELSE t END, lambda x: CAST('0x' || left(md5(x), 8) AS BIGINT)) AS h FROM (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3) AS t FROM documents WHERE length(text) < 1500)))"
+FINGER_SQL = f"(SELECT doc_id, CAST({SIMHASH_SQL} AS BIGINT) AS fingerprint FROM (SELECT doc_id, list_transform(CASE WHEN len(t) = 0 THEN [text] ELSE t END, lambda x: CAST('0x' || left(md5(x), 8) AS BIGINT)) AS h FROM (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3) AS t FROM documents)))"
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,12 +215,3 @@ def simhash(spark, sf_dir):
 def chunk_windows(spark, sf_dir):
     c = documents(spark, sf_dir).select("doc_id", F.inline(T.chunks(F.col("text"))))
     return c.select("doc_id", F.col("start").cast("long").alias("start"), count("words").alias("n"), F.col("words")[0].alias("first_word"))
-
-
-@query("chunk_sequence", r"SELECT doc_id, chunk, next_chunk, CAST(chunk - 1 AS BIGINT) AS previous_chunk FROM (SELECT doc_id, CAST(i // 140 AS BIGINT) AS chunk, lead(CAST(i // 140 AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY i) AS next_chunk FROM (SELECT doc_id, unnest(range(0, len(regexp_extract_all(text, '[\p{L}\p{N}_''-]+')), 140)) AS i FROM documents)) WHERE chunk >= 0")
-def chunk_sequence(spark, sf_dir):
-    """Next and previous chunk of each chunk; a chunk's number says both, so no window is needed."""
-    n = F.size(T.words(F.col("text")))
-    c = documents(spark, sf_dir).select("doc_id", n.alias("n")).filter("n > 0")
-    c = c.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 140))).alias("chunk"))
-    return c.select("doc_id", "chunk", F.when((F.col("chunk") + 1) * 140 < F.col("n"), F.col("chunk") + 1).alias("next_chunk"), (F.col("chunk") - 1).alias("previous_chunk"))
