@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
+from strataq.sessions import cut
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(node, other, edge id) from either end; two scans in place of a join with OR."""
@@ -44,21 +48,15 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int | None = Non
     folder between rounds.  Rounds go on until no label changes; more than
     ``most_rounds``, if given, are an error.
     """
-    import itertools
-    import tempfile
-
-    sc = nodes.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strataq-"))
     hops = both_ways(edges).select("node", "other").distinct()
-    labels = nodes.select("node").distinct().withColumn("component", F.col("node")).checkpoint()
+    labels = cut(nodes.select("node").distinct().withColumn("component", F.col("node")))
     for done in itertools.count():  # labels only fall, so this ends
         if done == most_rounds:
             raise RuntimeError(f"components still change after {most_rounds} rounds")
         near = hops.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("_near"))
         step = labels.join(near, "node", "left").select("node", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("component"))
         jump = step.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        now = step.join(jump, step.component == jump._n, "left").select("node", "_old", F.least("component", F.coalesce("_c", "component")).alias("component")).checkpoint()
+        now = cut(step.join(jump, step.component == jump._n, "left").select("node", "_old", F.least("component", F.coalesce("_c", "component")).alias("component")))
         labels = now.select("node", "component")
         if now.filter("component <> _old").isEmpty():
             break

@@ -14,15 +14,27 @@ def latest(log: DataFrame, key: str = "dedupe_key", seq: str = "seq") -> DataFra
     return log.groupBy(key).agg(F.max_by(F.struct(*log.columns), seq).alias("_r")).select("_r.*")
 
 
-def changed(log: DataFrame, key: str = "dedupe_key", seq: str = "seq", digest: str = "digest") -> DataFrame:
-    """Rows whose digest differs from the one before them of their key: A, A, B, A gives A, B, A."""
-    before = F.lag(digest).over(Window.partitionBy(key).orderBy(seq))
-    return log.withColumn("_before", before).filter(~F.col("_before").eqNullSafe(F.col(digest))).drop("_before")
+def changed(log: DataFrame, key: str = "dedupe_key", seq: str = "seq", digest: str = "digest", before: DataFrame | None = None, block: int = 1 << 24) -> DataFrame:
+    """Rows whose digest differs from the one before them of their key: A, A, B, A gives A, B, A.
+
+    ``before`` has the last digest of keys that were written earlier.  A key's rows are
+    compared within blocks of the sequence, and the first of a block with the last of the
+    blocks before it, so that a key with very many rows doesn't fill one task.
+    """
+    inner, outer = Window.partitionBy(key, "_b").orderBy(seq), Window.partitionBy(key).orderBy("_b")
+    rows = log.withColumn("_b", F.floor(F.col(seq) / block))
+    ends = rows.groupBy(key, "_b").agg(F.max_by(digest, seq).alias("_end")).withColumn("_prior", F.lag("_end").over(outer)).drop("_end")
+    if before is not None:
+        ends = ends.join(before.select(key, F.col(digest).alias("_last")), key, "left").select(key, "_b", F.coalesce("_prior", "_last").alias("_prior"))
+    out = rows.join(ends, [key, "_b"]).withColumn("_before", F.coalesce(F.lag(digest).over(inner), "_prior"))
+    return out.filter(~F.col("_before").eqNullSafe(F.col(digest))).select(*log.columns)
 
 
 def without_tombstones(log: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Tombstones have no time: they hide (family, id) wherever it stands."""
-    return log.join(tombstones.select("family", "id").distinct(), ["family", "id"], "left_anti")
+    """Tombstones have no time: they hide an id of a family wherever it stands, but only in their own namespace and scope, where they have these columns."""
+    t = tombstones.distinct()
+    same = [t[c].eqNullSafe(log[c]) if c == "scope" else t[c] == log[c] for c in ("namespace", "scope", "family", "id") if c in t.columns]
+    return log.join(t, same, "left_anti")
 
 
 def compacted(log: DataFrame, tombstones: DataFrame) -> DataFrame:
