@@ -5,7 +5,6 @@ import re
 
 import pytest
 
-from strataq.llm.sharding import hilbert_shards
 from strataq.operators import graph as R
 from strataq.operators import observations as O
 from strataq.operators import retrieval as Q
@@ -102,17 +101,6 @@ def test_budget_of_cheapest_rows(spark, budget):
     assert sorted(r["pos"] for r in Q.budgeted(rows, budget).collect()) == list(range(budget))
 
 
-def test_large_groups_of_copies_are_one_run_of_shards(spark):
-    made = [(i, f"text {i:05d}", "abcd"[i % 4], "wxyz"[i // 4 % 4]) for i in range(950)]
-    made += [(950 + i, "the copied", "abcd"[i % 4], "wxyz"[i // 4 % 4]) for i in range(50)]  # a twentieth of the bytes
-    out = hilbert_shards(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).collect()
-    order = [r["doc_id"] >= 950 for r in sorted(out, key=lambda r: (r["shard"], r["slot"]))]
-    at = order.index(True)
-    assert len(out) == 1000 and all(order[at : at + 50]) and len({r["shard"] for r in out if r["doc_id"] >= 950}) <= 2
-    load = [sum(r["size"] for r in out if r["shard"] == s) for s in range(8)]
-    assert max(load) - min(load) <= 2 * 11
-
-
 def test_components_of_a_slow_graph(spark):
     """A chain 0, n - 1, n - 2 ... 1: the least label moves one step a round."""
     n = 8
