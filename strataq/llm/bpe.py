@@ -2,10 +2,13 @@
 
 For every prefix of a pre-token there is exactly one token that can be last in
 the prefix's BPE encoding.  It is found among the vocabulary tokens that are
-suffixes of the prefix (longest first, then along suffix links): the one whose
-pair with the last token of the shorter prefix survives all merges.  Following
-the last tokens back from the end gives the ids.  All pre-tokens that a worker
-has not met yet are worked on together, position by position.
+suffixes of the prefix: the one whose pair with the last token of the shorter
+prefix survives all merges.  An automaton of all prefixes of tokens, with links from
+each to its longest suffix that is one too, reads a pre-token once and knows at every
+position the longest token that ends there; shorter ones follow along the tokens' own
+suffix links.  Following the last tokens back from the end gives the ids.  All
+pre-tokens that a worker has not met yet are worked on together, position by
+position; one of more than LONG bytes, such as unspaced text, by itself.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from strataq.llm.batch import U, HashIndex, SpanCache, chunks, column, flat_rang
 from strataq.llm.shared import bound_batches, frugal
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
+LONG = 256
 #: White space as regular expressions see it (Unicode White_Space).
 _WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -90,9 +94,7 @@ class Vocabulary:
         self.node_token = np.array(token, np.int32)
         self.step = HashIndex()
         self.step.add(np.array([p << 8 | x for p, x in nodes], U) + U(1), np.array([*nodes.values()], np.int32))
-        self.first = np.full(256, -1, np.int32)
-        for x in range(256):
-            self.first[x] = nodes.get((0, x), -1)
+        self.suffix, self.ending = self._suffix_links(nodes)
         #: The longest token that is a proper suffix of each token.
         self.link = np.full(size, -1, np.int32)
         for b, i in id_of.items():
@@ -104,6 +106,36 @@ class Vocabulary:
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.flat_at = np.cumsum(self.length) - self.length
         self.pairs = HashIndex(16)
+        self._plain: tuple | None = None
+
+    def _suffix_links(self, nodes: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of every node, the node of its longest proper suffix in the automaton, and the longest token that ends in it (-1: none)."""
+        n = len(self.node_token)
+        parent, byte, depth = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for (p, x), i in nodes.items():  # parents come before their children
+            parent[i], byte[i], depth[i] = p, x, depth[p] + 1
+        suffix, ending = np.zeros(n, np.int64), self.node_token.copy()
+        order = np.argsort(depth, kind="stable")
+        edges = np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 2)) if n else []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            own = order[i:j]
+            if depth[own[0]] > 1:
+                suffix[own] = self._step(suffix[parent[own]], byte[own], suffix)
+            none = own[ending[own] < 0]
+            ending[none] = ending[suffix[none]]
+        return suffix, ending
+
+    def _step(self, node: np.ndarray, byte: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """Where the automaton goes from nodes with bytes: along the byte, or else from the node's suffix."""
+        out, todo = np.zeros(len(node), np.int64), np.arange(len(node))
+        node, byte = node.astype(np.int64), byte.astype(np.int64)
+        while len(todo):
+            got = self.step.find((node[todo] << 8 | byte[todo]).astype(U) + U(1))
+            hit = got >= 0
+            out[todo[hit]] = got[hit]
+            todo = todo[~hit & (node[todo] != 0)]
+            node[todo] = suffix[node[todo]]
+        return out
 
     def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether tokens a and b stay apart when their bytes are merged together."""
@@ -144,30 +176,20 @@ class Vocabulary:
         data = np.frombuffer(b"".join(words), np.uint8)
         begin = np.cumsum(lens) - lens
         total = len(data)
-        stop = np.repeat(begin + lens, lens)
-        # Longest token that ends before each position: longer ones are written later.
-        longest = np.full(total + 1, -1, np.int32)
-        at = np.arange(total)
-        node = self.first[data] if total else np.zeros(0, np.int32)
-        depth = 1
-        while len(at):
-            t = self.node_token[node]
-            hit = t >= 0
-            longest[at[hit] + depth] = t[hit]
-            on = at + depth < stop[at]
-            at, node = at[on], node[on]
-            node = self.step.find((node.astype(U) << U(8) | data[at + depth].astype(U)) + U(1))
-            at, node = at[node >= 0], node[node >= 0]
-            depth += 1
         # last[p]: the last token of the prefix that ends before p; words by length, so that the active ones are a slice.
         last = np.full(total + 1, -1, np.int32)
-        order = np.argsort(-lens, kind="stable")
+        for w in np.flatnonzero(lens > LONG).tolist():
+            last[begin[w] + 1 : begin[w] + lens[w] + 1] = self.encode_long(words[w])
+        short = np.flatnonzero(lens <= LONG)
+        order = short[np.argsort(-lens[short], kind="stable")]
         neg = -lens[order]
+        node = np.zeros(len(order), np.int64)
         i = 1
         while (active := int(np.searchsorted(neg, -i, "right"))) > 0:
             word = order[:active]
             end = begin[word] + i
-            cand = longest[end].copy()
+            node = self._step(node[:active], data[end - 1], self.suffix)
+            cand = self.ending[node].copy()
             todo = np.arange(active)
             while len(todo):
                 c = cand[todo]
@@ -197,6 +219,53 @@ class Vocabulary:
         edge = np.searchsorted(marked, np.append(begin, total), "right")
         return last[marked].astype(np.int32), np.diff(edge)
 
+    def encode_long(self, word: bytes) -> list[int]:
+        """The last token of every prefix of one word, without arrays: a step for each byte."""
+        if self._plain is None:
+            live = np.flatnonzero(self.step.keys)
+            steps = dict(zip((self.step.keys[live] - U(1)).tolist(), self.step.vals[live].tolist(), strict=True))
+            live = np.flatnonzero(self.merged.keys)
+            merged = dict(zip((self.merged.keys[live] - U(1)).tolist(), self.merged.vals[live].tolist(), strict=True))
+            self._plain = steps, merged, self.suffix.tolist(), self.ending.tolist(), self.link.tolist(), self.length.tolist(), self.rank.tolist(), self.left.tolist(), self.right.tolist()
+        steps, merged, suffix, ending, link, length, rank, left, right = self._plain
+        known: dict[int, bool] = {}
+
+        def apart(a: int, b: int) -> bool:
+            limit = 1 << 40
+            while True:
+                m = merged.get(a << 20 | b)
+                if m is not None and rank[m] < limit:
+                    return False
+                ra, rb = rank[a], rank[b]
+                if ra > rb:
+                    limit, a = ra, right[a]
+                elif rb >= 0:
+                    limit, b = rb + 1, left[b]
+                else:
+                    return True
+
+        last, node = [0] * (len(word) + 1), 0
+        for i, x in enumerate(word, 1):
+            while (to := steps.get(node << 8 | x)) is None and node:
+                node = suffix[node]
+            node = to or 0
+            c = ending[node]
+            while True:
+                if c < 0:
+                    raise ValueError("a byte is missing from the vocabulary")
+                n = length[c]
+                if n == i:
+                    break
+                pair = last[i - n] << 20 | c
+                ok = known.get(pair)
+                if ok is None:
+                    ok = known[pair] = apart(last[i - n], c)
+                if ok:
+                    break
+                c = link[c]
+            last[i] = c
+        return last[1:]
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return self.flat[flat_ranges(self.flat_at[ids], self.length[ids])]
 
