@@ -144,13 +144,13 @@ def fit(rows: list[np.ndarray], quality: np.ndarray, smooth: float = 1.0, cost:
     return model
 
 
-def labelled_features(df: DataFrame, labels: DataFrame, most_rows: int, most_bytes: int, key_column: str, text: str, label: str) -> tuple[list[np.ndarray], np.ndarray]:
+def labelled_features(df: DataFrame, labels: DataFrame, most_rows: int, key_column: str, text: str, label: str) -> tuple[list[np.ndarray], np.ndarray]:
     """Features of about ``most_rows`` labelled documents, chosen by a hash of the key."""
     labels = labels.filter(F.col(label).isNotNull() & F.col(key_column).isNotNull()).select(key_column, F.col(label).cast("int").alias("_label"))
     n = labels.count()
     chance = F.pmod(F.xxhash64(F.col(key_column), F.lit("nbsvm")), F.lit(1 << 40)) / float(1 << 40)
     chosen = labels.filter(chance < min(1.0, most_rows / max(1, n))).groupBy(key_column).agg(F.max("_label").alias("_label"))
-    found = df.select(key_column, text).filter(F.octet_length(text) <= most_bytes).join(F.broadcast(chosen), key_column).select(key_column, text, "_label")
+    found = df.select(key_column, text).join(F.broadcast(chosen), key_column).select(key_column, text, "_label")
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +165,15 @@ def labelled_features(df: DataFrame, labels: DataFrame, most_rows: int, most_byt
     return [np.frombuffer(r["ids"], "<u4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows])
 
 
-def quality_scores(df: DataFrame, train: DataFrame, labels: DataFrame, most_rows: int = 5000, most_bytes: int = 1 << 16, key_column: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def quality_scores(df: DataFrame, train: DataFrame, labels: DataFrame, most_rows: int = 5000, key_column: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Adds ``score`` (0 to 1, higher: label 1 likelier) to every row of ``df``.
 
     The model is fitted on about ``most_rows`` rows of ``train`` that ``labels``
-    names, none over ``most_bytes``.  A null text counts as empty and gets the
+    names, of any length.  A null text counts as empty and gets the
     score of a text without features.  A column named ``score`` is replaced.
     """
     bound_batches(df.sparkSession)
-    rows, y = labelled_features(train, labels, most_rows, most_bytes, key_column, text, label)
+    rows, y = labelled_features(train, labels, most_rows, key_column, text, label)
     model = df.sparkSession.sparkContext.broadcast(fit(rows, y))
     df = df.drop("score")
 

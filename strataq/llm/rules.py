@@ -19,31 +19,31 @@ FEATURES = ("symbols_per_word", "repeat_share", "dup_line_share", "mean_word", "
 Test = tuple[str, str, float]
 
 
-def _repeat_words(words: Column, hashes: Column, step: Column) -> Column:
+def _repeat_words(words: Column, hashes: Column) -> Column:
     """Words inside 3-word windows that occur twice or more.
 
-    Hashes and places share one number each, so that sorting brings equal windows
-    together; the words of neighbours are then compared themselves.
+    Sorting windows by hash and place brings equal ones together; the words of
+    neighbours are then compared themselves.  Only different windows with one 64-bit
+    hash that are each repeated could hide each other.
     """
     n = F.size(hashes)
-    packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(-step).bitwiseOR(i.cast("long"))))
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def same(x: Column, y: Column) -> Column:
-        p, q = x.bitwiseAND(step - 1).cast("int"), y.bitwiseAND(step - 1).cast("int")
-        equal = x.bitwiseAND(-step) == y.bitwiseAND(-step)
+        equal = x["h"] == y["h"]
         for k in range(3):
-            equal = equal & (F.get(words, p + k) == F.get(words, q + k))
+            equal = equal & (F.get(words, x["i"] + k) == F.get(words, y["i"] + k))
         return F.coalesce(equal, F.lit(False))
 
     def covered(s: Column) -> Column:
         twice = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
-        return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(step - 1).cast("int")))
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
     def total(p: Column) -> Column:
         return F.aggregate(F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), F.lit(0), lambda a, x: a + x)
 
     # One-element arrays bind a value once, as a let.
-    bound = F.transform(F.transform(F.array(packed), covered), total)
+    bound = F.transform(F.transform(F.array(placed), covered), total)
     return F.when((n > 1) & (F.size(F.array_distinct(hashes)) < n), F.get(bound, F.lit(0))).otherwise(F.lit(0)).cast("long")
 
 
@@ -57,7 +57,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("__words", F.array_remove(F.split(t, WHITE), ""))
     words = F.col("__words")
-    df = df.withColumn("__hashes", F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))).withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).withColumn("__step", F.shiftleft(F.lit(1).cast("long"), 1) * F.pow(F.lit(2.0), F.ceil(F.log2(F.size("__words") + 1.0))).cast("long"))
+    df = df.withColumn("__hashes", F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))).withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.col("n_words")
     df = df.select(
         *kept,
@@ -65,7 +65,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(words, F.col("__hashes"), F.col("__step")).alias("n_repeat_words"),
+        _repeat_words(words, F.col("__hashes")).alias("n_repeat_words"),
         F.size("__lines").cast("double").alias("__n_lines"),
         F.size(F.array_distinct("__words")).cast("double").alias("__n_distinct"),
         F.regexp_count(t, F.lit("[A-Z]")).cast("double").alias("__n_upper"),
