@@ -1,15 +1,17 @@
 """Sharding along a Hilbert curve.
 
-Metadata columns are quantised (numbers by their quantiles, strings by the rank of
-their frequency), the cells are put in the order of a Hilbert curve, and the
+Metadata columns are quantised (numbers by their quantiles, the commonest strings in
+order over the whole range), the cells are put in the order of a Hilbert curve, and the
 ordered rows are cut into runs of nearly equal bytes.  Files of one run then have
 narrow ranges in every dimension.  Rows with equal texts stay together unless
 their group is large against a shard; such a group is one run of the curve too,
 and cut between its rows where a shard ends.
 
-All sorting is a range exchange of narrow rows, with the key as the last sort
-column, so that no value can fill a task.  Totals by partition are collected: one
-row for each partition.
+All sorting is a range exchange of narrow rows, with a hash of the key as the last
+sort column, so that no value and no group can fill a task; a group that goes on
+over partitions is told where it began.  Groups of a thousandth of the rows or more, a
+thousand at most, are broadcast, the others joined.  Totals by partition are
+collected: one row for each partition.
 """
 
 from __future__ import annotations
@@ -69,11 +71,24 @@ def quantisers(df: DataFrame, numbers: Sequence[str], strings: Sequence[str]) ->
         top = [r[0] for r in df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(levels - 2).collect()]
         rank = F.lit(levels - 1)
         if top:
-            rank = F.coalesce(F.create_map(*[F.lit(v) for i, x in enumerate(sorted(top)) for v in (x, i + 1)])[F.col(c)], rank)
+            rank = F.coalesce(F.create_map(*[F.lit(v) for i, x in enumerate(sorted(top)) for v in (x, 1 + i * (levels - 2) // len(top))])[F.col(c)], rank)
         out.append(F.when(F.col(c).isNull(), F.lit(0)).otherwise(rank))
     return out
 
 
+def whole_parts(parts: list) -> list[tuple[int, int, int, int]]:
+    """Of each partition in order (number, rows, bytes, first and last row's group): rows and bytes before it, and where its first group opened, over all partitions."""
+    out, rows, size, going = [], 0, 0, None
+    for p, n, bytes_, first, last in parts:
+        own = tuple(first[:4])
+        opened = going[1] if going is not None and going[0] == own else size
+        out.append((p, rows, size, opened))
+        end = tuple(last[:4])
+        going = (end, opened if end == own else size + last[4])
+        rows, size = rows + n, size + bytes_
+    return out
+
+
 def hilbert_shards(df: DataFrame, shards: int = 8, key_column: str = "doc_id", text: str = "text", strings: Sequence[str] = ("lang", "source"), group_share: float = 1 / 32) -> DataFrame:
     """Returns key, size, text_crc32, curve, shard and slot for every row.
 
@@ -85,12 +100,14 @@ def hilbert_shards(df: DataFrame, shards: int = 8, key_column: str = "doc_id", t
     t = F.coalesce(F.col(text), F.lit(""))
     narrow = df.select(F.col(key_column).alias("_key"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), F.xxhash64(t).alias("_group"), *strings)
     narrow = materialise(narrow)
-    total = narrow.agg(F.sum("size")).first()[0] or 0
+    n, total = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     copies = narrow.groupBy("_group", "size").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*strings)).alias("_first") if strings else F.lit(None).alias("_first"))
-    copies = copies.filter(F.col("_n") > 1)
+    copies = materialise(copies.filter(F.col("_n") > 1))
+    large = F.broadcast(copies.filter(F.col("_n") * 1000 >= n))  # a thousand rows at most
+    others = narrow.join(large.select("_group", "size"), ["_group", "size"], "left_anti").join(copies.filter(F.col("_n") * 1000 < n), ["_group", "size"], "left")
+    rows = narrow.join(large, ["_group", "size"]).unionByName(others)
     shared = F.col("_n").isNotNull()
     whole = F.col("_n") * F.col("size") <= total / shards * group_share
-    rows = narrow.join(copies, ["_group", "size"], "left")
     rows = rows.select("_key", "size", "text_crc32", "_group", *[F.when(shared, F.col("_first")[s]).otherwise(F.col(s)).alias(s) for s in strings], F.when(whole, F.col("_n") * F.col("size")).alias("_bytes"))
     cells = quantisers(narrow, ["size"], strings)
     dims = len(cells)
@@ -103,38 +120,37 @@ def hilbert_shards(df: DataFrame, shards: int = 8, key_column: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hilbert_index(at))], [*b.schema.names, "curve"])
 
     rows = rows.mapInArrow(place, widened(rows, curve="long")).drop(*[f"_c{i}" for i in range(dims)])
-    rows = rows.withColumn("_tie", F.when(F.col("_bytes").isNull(), F.xxhash64("_key", "size")).otherwise(F.lit(0)))
-    order = ["curve", "_group", "_tie", "_key"]
-    rows = rows.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
+    rows = rows.withColumn("_tie", F.xxhash64("_key", "size"))
+    order = ["curve", "_group", "size", "_tie", "_key"]
+    rows = rows.repartitionByRange(*order[:4]).sortWithinPartitions(*order)
 
     @frugal
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, cum, open_group, open_at = TaskContext.get().partitionId(), 0, 0, None, 0
+        """Places and bytes before each row in its partition; of a whole group, where it opened, but for the partition's first one."""
+        part, row, cum, now, opened, head = TaskContext.get().partitionId(), 0, 0, None, 0, None
         for b in batches:
             size = column(b, "size").to_numpy()
-            before = cum + np.cumsum(size) - size
-            group, held = column(b, "_group").to_pylist(), column(b, "_bytes").to_pylist()
-            middle = []
-            for i in range(len(size)):
-                if held[i] is None:
-                    open_group = None
-                    middle.append(int(before[i]) + int(size[i]) // 2)
-                else:
-                    if open_group != (group[i], held[i]):
-                        open_group, open_at = (group[i], held[i]), int(before[i])
-                    middle.append(open_at + held[i] // 2)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), part)), pa.array(np.arange(row, row + len(size))), pa.array(middle, pa.int64())], [*b.schema.names, "_part", "_row", "_middle"])
+            before = (cum + np.cumsum(size) - size).tolist()
+            ids = list(zip(*(column(b, c).to_pylist() for c in ("curve", "_group", "size", "_bytes")), strict=True))
+            opens, heads = [], []
+            for i, own in enumerate(ids):
+                if own != now:
+                    now, opened = own, before[i]
+                head = own if head is None else head
+                opens.append(opened)
+                heads.append(own == head)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), part)), pa.array(np.arange(row, row + len(size))), pa.array(before, pa.int64()), pa.array(opens, pa.int64()), pa.array(heads, pa.bool_())], [*b.schema.names, "_part", "_row", "_before", "_open", "_head"])
             row, cum = row + len(size), cum + int(size.sum())
 
-    rows = materialise(rows.mapInArrow(number, widened(rows, _part="long", _row="long", _middle="long")))
-    parts = sorted(rows.groupBy("_part").agg(F.count(F.lit(1)), F.sum("size")).collect())
-    before, bytes_before, offsets = 0, 0, []
-    for p, n, size in parts:
-        offsets.append((p, before, bytes_before))
-        before, bytes_before = before + n, bytes_before + size
-    base = df.sparkSession.createDataFrame(offsets, "_part long, _rows_before long, _bytes_before long")
+    rows = materialise(rows.mapInArrow(number, widened(rows, _part="long", _row="long", _before="long", _open="long", _head="boolean")))
+    group = F.struct("curve", "_group", "size", "_bytes", "_open")
+    parts = sorted(rows.groupBy("_part").agg(F.count(F.lit(1)), F.sum("size"), F.min_by(group, "_row"), F.max_by(group, "_row")).collect())
+    base = whole_parts(parts)
+    base = df.sparkSession.createDataFrame(base, "_part long, _rows_before long, _bytes_before long, _head_open long")
     rows = rows.join(F.broadcast(base), "_part")  # one row for each partition
-    rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.floor((F.col("_bytes_before") + F.col("_middle")) * shards / F.lit(max(1, total)))).cast("int")).withColumn("_at", F.col("_rows_before") + F.col("_row"))
+    opened = F.when(F.col("_head"), F.col("_head_open")).otherwise(F.col("_bytes_before") + F.col("_open"))
+    middle = F.when(F.col("_bytes").isNull(), F.col("_bytes_before") + F.col("_before") + F.floor(F.col("size") / 2)).otherwise(opened + F.floor(F.col("_bytes") / 2))
+    rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(max(1, total)))).cast("int")).withColumn("_at", F.col("_rows_before") + F.col("_row"))
     first = {r[0]: r[1] for r in rows.groupBy("shard").agg(F.min("_at")).collect()}
     start = F.create_map(*[F.lit(x) for k, v in first.items() for x in (k, v)])[F.col("shard")] if first else F.lit(0)
     return rows.select(F.col("_key").alias(key_column), "size", "text_crc32", "curve", "shard", (F.col("_at") - start).cast("long").alias("slot"))

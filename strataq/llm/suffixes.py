@@ -589,7 +589,8 @@ def kept_text(spans: np.ndarray, text: bytes) -> bytes:
 def remove_repeats(df: DataFrame, width: int = 50, key_column: str = "doc_id", text: str = "text", pass_through: Sequence[str] = ()) -> DataFrame:
     """Returns (doc_id, text, n_removed) and the columns to pass through of every row, with the repeated bytes cut out.
 
-    What is left of a character that loses some of its bytes is dropped too.
+    What is left of a character that loses some of its bytes is dropped too.  A column to
+    pass through that is named n_removed stands in place of the number.
     """
 
     @frugal
@@ -605,7 +606,7 @@ def remove_repeats(df: DataFrame, width: int = 50, key_column: str = "doc_id", t
 
     spans = repeated_spans(df, width, key_column, text, pass_through)
     schema = T.StructType([*T._parse_datatype_string("doc_id long, text string, n_removed long").fields, *([spans.schema["_more"]] if pass_through else [])])
-    return spans.mapInArrow(run, schema).select("doc_id", "text", "n_removed", *[F.col(f"_more.`{c}`").alias(c) for c in pass_through])
+    return spans.mapInArrow(run, schema).select("doc_id", "text", *(["n_removed"] if "n_removed" not in pass_through else []), *[F.col(f"_more.`{c}`").alias(c) for c in pass_through])
 
 
 def repeat_digests(df: DataFrame, width: int = 50, key_column: str = "doc_id", text: str = "text") -> DataFrame:
