@@ -1,8 +1,11 @@
 """A corpus pipeline: five stages over documents, each written before the next reads it.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents.  Rows whose key is null are kept by the stages
-that judge texts and get no group; extra columns pass through all but the last stage.
+return the columns of documents.  Rows whose key is null are judged like others, belong
+to no group of near duplicates and lose no repeats, and null texts are empty.  Of rows
+that repeat key and text entirely one stays; different texts of one key are rows of
+their own, but never lose passages to each other.  Extra columns, whatever their names,
+pass through all but the last stage.  Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -178,6 +178,9 @@ def pack(df: DataFrame, vocab_path: str, width: int = 4096, end_id: int = 2, sen
     A null text counts as empty: such a document is its ``end_id`` alone.  One row
     per piece.  ``sequence_id`` has the partition in its upper bits, so that tasks
     need nothing from each other and a task that runs again gives the same rows.
+    A sequence whose length is a power of two needs no padding: the last ids of each
+    partition, fewer than ``width``, become up to log2(``width``) such sequences, one for
+    each bit of their number, unless padding costs less than the cuts.
     ``sentence`` and ``inside`` are the penalties of a cut at a sentence's end and
     within a sentence, in ids of padding.
     """
