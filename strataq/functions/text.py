@@ -369,9 +369,3 @@ def secret_label(label: str | None) -> str:
 def redacted(label: str | None) -> str:
     """What stays readable of a secret."""
     return f"secret: {secret_label(label)}"
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared share of two arrays as sets; 0 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)

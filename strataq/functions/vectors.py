@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 
@@ -46,3 +49,20 @@ def hamming_similarity(a: Column, b: Column, bits: int = 64) -> Column:
 def vector_score(a: Column, b: Column) -> Column:
     """Four times the positive cosine, and four times the similarity of sign bits."""
     return 4 * F.greatest(F.lit(0.0), cosine(a, b)) + 4 * hamming_similarity(signature(a), signature(b))
+
+
+def to_binary(vector: Sequence[float]) -> bytes:
+    """Packed little-endian 32-bit floats."""
+    return struct.pack(f"<{len(vector)}f", *vector)
+
+
+def from_binary(packed: bytes | None) -> list[float] | None:
+    """The numbers of a packed vector; bytes that are no such vector give none."""
+    if packed is None or len(packed) % 4:
+        return None
+    return list(struct.unpack(f"<{len(packed) // 4}f", packed))
+
+
+def dimensions(vector: Column) -> Column:
+    """How many components there are; 0 for none."""
+    return F.coalesce(F.size(vector), F.lit(0))

@@ -39,9 +39,9 @@ def windows(labelled: DataFrame, edges: DataFrame, most: int = 24) -> DataFrame:
     size, edges, stream (mixed if there are several), task_ids, first and last sequence
     numbers, and the first keywords.  Windows are numbered by range, not in one task.
     """
-    words = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.slice(T.keywords(F.col("text")), 1, most).alias("k")))), lambda x: x["k"])))
+    words = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.slice(T.keywords(F.col("text")), 1, most).alias("k")))), lambda x: x["k"])))
     sizes = labelled.groupBy("component").agg(
-        F.count(F.lit(1)).alias("size"), F.min("stream").alias("_a"), F.max("stream").alias("_b"), F.array_sort(F.collect_set("task_id")).alias("task_ids"),
+        F.count(F.lit(1)).alias("size"), F.min("stream").alias("_a"), F.max("stream").alias("_b"), F.sort_array(F.collect_set("task_id")).alias("task_ids"),
         F.min("seq").alias("oldest"), F.max("seq").alias("newest"),
     )
     # The first memories of a component give the keywords: the 24 oldest have 24 distinct ones, if there are as many.
@@ -81,7 +81,7 @@ def compacted_knowledge(moments: DataFrame, events: DataFrame, latest: int = 20)
 
 def semantic_summary(records: DataFrame) -> DataFrame:
     """(family, count, source_ids): what a semantic compaction says of the records that it was given, which are bounded by its limit."""
-    return records.groupBy("family").agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list("id")).alias("source_ids"))
+    return records.groupBy("family").agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("id")).alias("source_ids"))
 
 
 def semantic(records: DataFrame, families: list[str], limit: int = 1000, adapter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

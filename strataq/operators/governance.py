@@ -21,11 +21,11 @@ def folded_state(events: DataFrame, block: int = 100_000) -> DataFrame:
     """(memory_id, state) after all legal moves in order; illegal ones are skipped."""
     step = lambda s, x: F.when(goes(s, x), x).otherwise(s)
     before = F.array(F.lit(None).cast("string"), *[F.lit(s) for s in STATES])
-    blocks = events.groupBy("memory_id", F.floor(F.col("seq") / block).alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "state"))), lambda x: x["state"]).alias("_moves"))
+    blocks = events.groupBy("memory_id", F.floor(F.col("seq") / block).alias("_b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "state"))), lambda x: x["state"]).alias("_moves"))
     blocks = blocks.select("memory_id", "_b", F.transform(before, lambda s: F.aggregate("_moves", s, step)).alias("_after"))
     place = lambda s: F.coalesce(F.array_position(before, s), F.lit(1)).cast("int")
     return blocks.groupBy("memory_id").agg(
-        F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_after"))), lambda x: x["_after"]), F.lit(None).cast("string"), lambda s, after: F.element_at(after, place(s))).alias("state")
+        F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_after"))), lambda x: x["_after"]), F.lit(None).cast("string"), lambda s, after: F.element_at(after, place(s))).alias("state")
     )
 
 

@@ -32,23 +32,19 @@ def related(chunks: Column, least: float = 0.18, most: int = 40) -> Column:
     All chunks of a text lie in one row, so that nothing is shuffled; of each chunk's
     pairs only the strongest ``most`` are held.
     """
-    first = lambda pairs: F.slice(F.array_sort(pairs, _stronger), 1, most)
+    first = lambda pairs: F.slice(F.sort_array(pairs), 1, most)
 
     def pair(x: Column, y: Column) -> Column:
         shared = F.size(F.array_intersect(x["terms"], y["terms"]))
-        weight = T.bound(shared, lambda s: F.round(s / F.greatest(F.lit(1), F.size(x["terms"]) + F.size(y["terms"]) - s), 6))
-        return F.struct(x["id"].alias("a"), y["id"].alias("b"), weight.alias("weight"))
+        less = T.bound(shared, lambda s: -F.round(s / F.greatest(F.lit(1), F.size(x["terms"]) + F.size(y["terms"]) - s), 6))
+        return F.struct(less.alias("less"), x["id"].alias("a"), y["id"].alias("b"))
 
     def of(x: Column, i: Column) -> Column:
         later = F.slice(chunks, i + 2, F.size(chunks))
-        return first(F.filter(F.transform(later, lambda y: pair(x, y)), lambda p: p["weight"] >= least))
+        return first(F.filter(F.transform(later, lambda y: pair(x, y)), lambda p: p["less"] <= -least))
 
-    return first(F.flatten(F.transform(chunks, of)))
-
-
-def _stronger(x: Column, y: Column) -> Column:
-    before = (x["weight"] > y["weight"]) | ((x["weight"] == y["weight"]) & ((x["a"] < y["a"]) | ((x["a"] == y["a"]) & (x["b"] < y["b"]))))
-    return F.when(before, -1).otherwise(1)
+    best = first(F.flatten(F.transform(chunks, of)))
+    return F.transform(best, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), (-p["less"]).alias("weight")))
 
 
 def relationship(keywords: Column, entities: Column, categories: Column, same_task: Column) -> Column:
@@ -173,7 +169,7 @@ def cross_links(anchors_: DataFrame, others: DataFrame, existing: DataFrame | No
 
 def turns(rows: DataFrame, by: str, order: str, text: str = "text") -> DataFrame:
     """One text for each exchange: its turns in order, a line each, with their number; blank turns are left out."""
-    held = rows.filter(F.trim(text) != "").groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("_t")))).alias("_turns"))
+    held = rows.filter(F.trim(text) != "").groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, F.col(text).alias("_t")))).alias("_turns"))
     return held.select(by, F.array_join(F.transform("_turns", lambda x: x["_t"]), "\n").alias("text"), F.size("_turns").cast("long").alias("turns"))
 
 
@@ -185,5 +181,5 @@ def recent_context(rows: DataFrame, most: int = 12) -> DataFrame:
         return F.when(F.col(by).isNotNull(), F.collect_list(F.struct("seq", "id")).over(w)).otherwise(F.array())
 
     both = rows.withColumn("_s", before("stream")).withColumn("_t", before("task_id"))
-    newest = F.slice(F.reverse(F.array_sort(F.array_union("_s", "_t"))), 1, most)
+    newest = F.slice(F.reverse(F.sort_array(F.array_union("_s", "_t"))), 1, most)
     return both.withColumn("recent", F.transform(newest, lambda x: x["id"])).drop("_s", "_t")

@@ -57,7 +57,7 @@ def deduped(events: DataFrame) -> DataFrame:
 def compact_summary(moments: DataFrame) -> DataFrame:
     """One row: the five strongest texts, or a fixed sentence."""
     best = moments.orderBy(F.desc("attention"), "seq").limit(5)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("attention")).alias("a"), "seq", "text"))), lambda x: F.left(x["text"], F.lit(500))), " | ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("attention")).alias("a"), "seq", "text"))), lambda x: F.left(x["text"], F.lit(500))), " | ")
     return best.agg(F.when(F.count(F.lit(1)) == 0, "No compact knowledge has been built yet.").otherwise(text).alias("summary"))
 
 

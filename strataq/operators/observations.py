@@ -47,13 +47,13 @@ def verified(observations: DataFrame, checks: DataFrame, delta: float = 0.08, bl
     step = lambda m, x: F.struct((m["by"] + x).alias("by"), clamp(m["lo"] + x).alias("lo"), clamp(m["hi"] + x).alias("hi"))
     same = F.struct(F.lit(0.0).alias("by"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
     blocks = checks.groupBy("key", F.floor(F.col("seq") / block).alias("_b")).agg(
-        F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("seq", change.alias("by")))), lambda x: x["by"]), same, step).alias("_map"),
+        F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("seq", change.alias("by")))), lambda x: x["by"]), same, step).alias("_map"),
         F.count_if(F.col("relation") == "supports").alias("_p"),
         F.count_if(F.col("relation").isin("weakens", "contradicts")).alias("_c"),
         F.max_by("relation", "seq").alias("_last"),
     )
     agg = blocks.groupBy("key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_b", "_map"))), lambda x: x["_map"]).alias("_maps"),
+        F.transform(F.sort_array(F.collect_list(F.struct("_b", "_map"))), lambda x: x["_map"]).alias("_maps"),
         F.sum("_p").alias("_p"),
         F.sum("_c").alias("_c"),
         F.max_by("_last", "_b").alias("_last"),

@@ -128,7 +128,7 @@ def budgeted(groups: DataFrame, budget: int) -> DataFrame:
     w = Window.partitionBy("grp").orderBy("pos")
     rows = groups.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(budget, 1))
     rows = rows.withColumn("_sum", F.sum("cost").over(w)).filter((F.col("_sum") <= budget) | (F.col("_n") == 1))
-    sums = rows.groupBy("grp").agg(F.array_sort(F.collect_list("_sum")).alias("_sums"))
+    sums = rows.groupBy("grp").agg(F.sort_array(F.collect_list("_sum")).alias("_sums"))
     used = lambda a: F.coalesce(a["used"], F.lit(0).cast("long"))
 
     def step(a: Column, g: Column) -> Column:
@@ -142,7 +142,7 @@ def budgeted(groups: DataFrame, budget: int) -> DataFrame:
     kind = f"array<struct<grp:{groups.schema['grp'].dataType.simpleString()},take:bigint>>"
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("takes"))
     # A sum or two for each group, in order.
-    folded = sums.agg(F.aggregate(F.array_sort(F.collect_list(F.struct("grp", "_sums"))), start, step).alias("_f")).select(F.inline("_f.takes"))
+    folded = sums.agg(F.aggregate(F.sort_array(F.collect_list(F.struct("grp", "_sums"))), start, step).alias("_f")).select(F.inline("_f.takes"))
     return rows.join(F.broadcast(folded), "grp").filter(F.col("_sum") <= F.col("take")).drop("_n", "_sum", "take")
 
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strataq.operators import log as L
-from strataq.sessions import remove_folder
+from strataq.sessions import cut, remove_folder
 
 # Record families.
 FAMILIES = ("signals", "moments", "associations", "artifacts", "action_recipes", "knowledge", "summaries", "categories", "embeddings", "observations", "mental_models", "memory_states", "consolidation_jobs", "tombstones", "secrets")
@@ -120,8 +120,11 @@ class LogStore:
         return max(self._numbers("snapshots", "upto="), default=None)
 
     def abandon(self, batch: int) -> None:
-        """Gives up a batch whose writer is gone, so that compaction needs not wait for it."""
-        self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
+        """Gives up a batch whose writer is gone, so that compaction needs not wait for it: it has no rows."""
+        fs, path = self._files()
+        folder = path(f"{self.path}/log/batch={batch}")
+        fs.delete(folder, True)
+        fs.create(path(folder, "_SUCCESS")).close()
 
     def append(self, rows: DataFrame, once: bool = True) -> int:
         """Writes enveloped rows as one batch and returns its number.
@@ -138,6 +141,7 @@ class LogStore:
         rows = rows.withColumn("seq", F.lit(n << BATCH) + place).select(*COLUMNS)
         try:
             if once:
+                rows = cut(rows)  # places are given once, for the comparison reads them twice
                 rows = L.changed(rows, before=self._last(rows))
             rows.write.mode("overwrite").partitionBy("namespace", "family").parquet(f"{self.path}/log/batch={n}")
         except Exception as e:
@@ -169,19 +173,16 @@ class LogStore:
         """All rows: the latest snapshot, then the batches behind it."""
         upto, parts = self.snapshot(), []
         if upto is not None:
-            parts.append(self._read([f"{self.path}/snapshots/upto={upto}"]))
+            parts.append(self._read(f"{self.path}/snapshots/upto={upto}", [f"{self.path}/snapshots/upto={upto}"]))
         if later := [n for n in self.batches() if upto is None or n > upto]:
-            parts.append(self._read([f"{self.path}/log/batch={n}" for n in later]))
+            parts.append(self._read(f"{self.path}/log", [f"{self.path}/log/batch={n}" for n in later]))
         if not parts:
             return self.spark.createDataFrame([], SCHEMA)
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    def _read(self, folders: list[str]) -> DataFrame:
-        out = None
-        for f in folders:
-            rows = self.spark.read.schema(SCHEMA).parquet(f).select(*COLUMNS)
-            out = rows if out is None else out.unionByName(rows)
-        return out
+    def _read(self, base: str, folders: list[str]) -> DataFrame:
+        """One scan of all folders; namespace and family are parts of the paths, so that filters on them skip files."""
+        return self.spark.read.schema(f"{SCHEMA}, batch long").option("basePath", base).parquet(*folders).select(*COLUMNS)
 
     def tombstones(self, rows: DataFrame | None = None) -> DataFrame:
         """(namespace, scope, family, id) of what is buried."""
