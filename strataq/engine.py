@@ -18,6 +18,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from strataq.context import QueryContext
 from strataq.functions import predicates as P
 from strataq.functions import text as T
 from strataq.functions import vectors as V
@@ -233,6 +234,14 @@ class Memory:
         self.link(memory_id, "attached_action", edges.first()["target_id"])
         return me
 
+    def run_recipe(self, recipe_id: str, runtime: Callable[[dict[str, Any]], Any] | None = None) -> dict[str, Any]:
+        """Hands a recipe to a runtime of the caller's; without one nothing runs."""
+        row = self.records("action_recipes", "memory_id string, language string, text string, intent string, status string").filter(F.col("id") == recipe_id).first()
+        if row is None:
+            raise KeyError(recipe_id)
+        recipe = row.asDict()
+        return {"status": "inert", "recipe": recipe} if runtime is None else {"status": "run", "recipe": recipe, "result": runtime(recipe)}
+
     def set_state(self, memory_id: str, state: str, reason: str = "manual") -> bool:
         """Writes a state; False if the lifecycle does not allow it, or the memory is in it already."""
         if state not in P.STATES:
@@ -346,18 +355,25 @@ class Memory:
         active = self.recall(cue, limit).select(F.lit("active").alias("source"), "rank", F.lit("moments").alias("family"), "id", "score", "state", "text")
         return active.unionByName(self.durable(cue, limit).withColumn("source", F.lit("durable")))
 
-    def recall(self, cue: str, limit: int = 10, budget: str = "mid", max_tokens: int | None = None, **filters: Any) -> DataFrame:
+    def context(self, cue: str) -> QueryContext:
+        """A cue worked out once, for this partition."""
+        vector = self.cue_vector(cue)
+        return QueryContext(cue, self.namespace, self.scope, None if vector is None else tuple(vector))
+
+    def recall(self, cue: str | QueryContext, limit: int = 10, budget: str = "mid", max_tokens: int | None = None, **filters: Any) -> DataFrame:
         """Scored memories, their graph neighbours and near vectors in one ranking: rank, id, kind, score, state, text.
 
-        ``budget`` is low, mid or high.  ``filters`` bound when a memory occurred or was
+        A cue may be a context that was made before, of this partition.  ``budget`` is low, mid or high.  ``filters`` bound when a memory occurred or was
         observed, and ask for what was valid at a time.  With ``max_tokens``, the ranking goes
         on until that many estimated tokens are used, instead of to the limit.
         """
         if limit < 0 or max_tokens is not None and max_tokens < 0:
             raise ValueError("limits are not negative")
+        context = cue.ensure(self.namespace, self.scope) if isinstance(cue, QueryContext) else self.context(cue)
+        cue, vector = context.text, context.vector
         seeds, depth = A.budget(budget)
         rows = cut(self.moments().filter(P.visible(F.col("state")) & W.matches(filters)))
-        scored = cut(Q.active_scores(rows, cue, vector=self.cue_vector(cue)))
+        scored = cut(Q.active_scores(rows, cue, vector=vector))
         base = Q.top(scored, limit * seeds, F.desc("score"), F.col("seq"), F.col("id")).select("id", "rank")
         near = R.reach(self.edges(), base.select(F.col("id").alias("node")), depth)
         lists = [base, near.select(F.col("node").alias("id"), (F.col("depth") + 1).alias("rank"))]

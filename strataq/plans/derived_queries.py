@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
+from strataq.engine import Memory
 from strataq.functions import text as T
 from strataq.functions import vectors as V
 from strataq.operators import consolidation as C
@@ -26,6 +27,7 @@ from strataq.plans.knowledge_queries import EVENTS_SQL, RANK_SQL, events
 from strataq.plans.memory_queries import ASK, CUE, EDGES_SQL, HAMMING_SQL, LOG_SQL, VEC0, bm25_sql, edges, fact_rows, log, seeds
 from strataq.plans.registry import query, table
 from strataq.sessions import checkpoint_folder
+from strataq.sources.frames import framed, frames_of
 from strataq.sources.log_store import LogStore, completed
 
 TEXT_HASH = "substr(sha256({}), 1, 24)"
@@ -168,6 +170,37 @@ def consolidation_windows(spark, sf_dir):
     return out.select("component", "size", "edges", "stream", F.array_join("task_ids", " ").alias("task_ids"), "oldest", "newest", F.col("window").alias("window_id"))
 
 
+@query("status_latest", f"SELECT 'stream' AS by, stream AS name, max_by(id, seq) AS id, max(seq) AS seq FROM {TURNS_SQL} GROUP BY stream UNION ALL SELECT 'task', task_id, max_by(id, seq), max(seq) FROM {TURNS_SQL} GROUP BY task_id")
+def status_latest(spark, sf_dir):
+    """The latest memory of every stream and of every task."""
+    m = memories(spark, sf_dir)
+    return A.statuses(m.withColumn("kind", F.col("id"))).select("by", "name", F.col("kind").alias("id"), "seq")
+
+
+FLOW_SQL = "(SELECT count(*) AS n, count(*) FILTER (n_regionkey = 0) AS gone FROM nation)"
+
+
+@query("memory_flow", f"SELECT role, n FROM (SELECT unnest([{{'role': 'root', 'n': n - gone}}, {{'role': 'chunk', 'n': n}}, {{'role': 'summary', 'n': 2 * n}}, {{'role': 'category', 'n': 2 * n}}, {{'role': 'extracted_fact', 'n': 5 * n}}, {{'role': 'promoted', 'n': 11 * n - gone}}, {{'role': 'knowledge', 'n': 11 * n - gone}}]) AS r FROM {FLOW_SQL}), LATERAL (SELECT r.role AS role, r.n AS n)")
+def memory_flow(spark, sf_dir):
+    """A memory over texts of nations: taken in, some forgotten, consolidated, compacted, and opened again."""
+    path = f"{checkpoint_folder(spark)}/memory-{uuid.uuid4().hex}"
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    word = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("_"))
+    text = F.concat(word("n_name"), F.lit(" called "), word("r_name"), F.lit(" on 2026-"), F.lpad((1 + F.col("n_nationkey") % 12).cast("string"), 2, "0"), F.lit("-10"))
+    docs = n.select(F.concat(F.col("n_regionkey").cast("string"), F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), text.alias("text"))
+    m = Memory(spark, path, "main")
+    m.remember(docs)
+    m.forget((F.col("role") == "root") & F.startswith("id", F.lit("0n")))
+    m.consolidate()
+    m.log.compact()
+    m = Memory(spark, path, "main")
+    rows = m.moments()
+    roles = rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    promoted = rows.filter("state = 'promoted'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("promoted").alias("role"), "n")
+    known = m.records("knowledge", "source_id string").agg(F.count(F.lit(1)).alias("n")).select(F.lit("knowledge").alias("role"), "n")
+    return roles.unionByName(promoted).unionByName(known)
+
+
 @query("latest_ingestions", f"SELECT id, row_number() OVER (ORDER BY seq DESC, id) AS rank FROM {EVENTS_SQL} WHERE type NOT IN ('summary', 'compaction_marker') QUALIFY rank <= 20")
 def latest_ingestions(spark, sf_dir):
     return Q.top(events(spark, sf_dir).filter(~F.col("type").isin("summary", "compaction_marker")), 20, F.desc("seq"), F.col("id")).select("id", "rank")
@@ -344,6 +377,19 @@ def log_reopen(spark, sf_dir):
     return last.replay("main").unionByName(last.replay("other")).select("namespace", "family", "id", "payload")
 
 
+@query("frame_roundtrip", "SELECT CAST(event_id AS BIGINT) AS seq, event_type AS family, CAST(user_id AS VARCHAR) AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def frame_roundtrip(spark, sf_dir):
+    """Events as framed records, written to files and read up to the torn tail that each of them has."""
+    path = f"{checkpoint_folder(spark)}/frames-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_type").alias("family"), F.col("user_id").cast("string").alias("id"), F.coalesce("props", F.lit("null")).alias("payload"))
+    torn = framed(rows.repartitionByRange("seq")).select(F.hex(F.concat("content", F.lit(b"SQFR torn"))).alias("value"))
+    torn.write.text(path)
+    # Text files hold the frames as digits here, for Spark writes no raw bytes.
+    back = spark.read.text(path).select(F.unhex("value").alias("content"))
+    return frames_of(back).select("seq", "family", "id", F.get_json_object("payload", "$.k").cast("long").alias("k"))
+
+
 @query("fact_governed")
 def fact_governed(spark, sf_dir):
     """States that statements lead to when some memories are pinned: a pinned fact holds others back."""

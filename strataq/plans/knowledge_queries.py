@@ -59,7 +59,7 @@ MODELS_SQL = "(SELECT 'mm_' || substr(sha256('main' || chr(31) || '-' || chr(31)
 
 def models(spark, sf_dir):
     """What is known of a brand and type."""
-    g = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("_p"))
+    g = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("_p"))
     rows = g.select(F.col("p_brand").alias("title"), F.concat("p_brand", F.lit(" "), "p_type").alias("query"), F.array_join(F.transform("_p", lambda x: x["p_name"]), "; ").alias("answer"))
     return K.mental_models(rows, "main").select("id", "title", "query", "answer")
 

@@ -218,11 +218,6 @@ def hot_eviction(spark, sf_dir):
     return L.newest(log(spark, sf_dir), ["family"], 1000).select("family", "seq")
 
 
-@query("status_latest", f"SELECT id, max_by(family, seq) AS status, max(seq) AS seq FROM {LOG_SQL} GROUP BY id")
-def status_latest(spark, sf_dir):
-    return log(spark, sf_dir).groupBy("id").agg(F.max_by("family", "seq").alias("status"), F.max("seq").alias("seq"))
-
-
 MOVE_SQL = "(SELECT CAST(user_id * 10 + event_id % 10 AS BIGINT) AS memory_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'short_term' WHEN 'click' THEN 'promoted' WHEN 'signup' THEN 'candidate' WHEN 'purchase' THEN 'stale' ELSE CASE WHEN event_id % 3 = 0 THEN 'contradicted' ELSE 'pinned' END END AS state FROM events)"
 
 

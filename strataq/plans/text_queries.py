@@ -14,14 +14,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def counted(own, name: str) -> F.Column:
+    """How many an array has, and its values in order; the array is worked out once."""
+    row = lambda k: F.struct(F.size(k).cast("long").alias("n"), F.array_join(F.sort_array(k), " ").alias(name))
+    return F.inline(F.array(T.bound(own, row)))
+
+
 def count(c) -> F.Column:
     return F.size(c).cast("long")
 
 
 @query("keywords", rf"SELECT doc_id, CAST(len(k) AS BIGINT) AS n, array_to_string(list_sort(k), ' ') AS words FROM (SELECT doc_id, list_distinct(list_filter({SPLIT}, lambda x: length(x) >= 3)) AS k FROM documents)")
 def keywords(spark, sf_dir):
-    k = T.keywords(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", count(k).alias("n"), F.array_join(F.array_sort(k), " ").alias("words"))
+    return documents(spark, sf_dir).select("doc_id", counted(T.keywords(F.col("text")), "words"))
 
 
 @query("terms", rf"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter({SPLIT}, lambda x: length(x) >= 2)) AS term FROM documents) GROUP BY ALL")
@@ -31,20 +36,18 @@ def terms(spark, sf_dir):
 
 @query("terms_ascii", "SELECT doc_id, CAST(len(k) AS BIGINT) AS n, array_to_string(list_sort(k), ' ') AS words FROM (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3)) AS k FROM documents)")
 def terms_ascii(spark, sf_dir):
-    k = T.ascii_terms(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", count(k).alias("n"), F.array_join(F.array_sort(k), " ").alias("words"))
+    return documents(spark, sf_dir).select("doc_id", counted(T.ascii_terms(F.col("text")), "words"))
 
 
 @query("entities_names", r"SELECT doc_id, CAST(len(k) AS BIGINT) AS n, array_to_string(list_sort(k), ' ') AS names FROM (SELECT doc_id, list_distinct(list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '\p{Lu}[\p{L}\p{N}_]+'))) AS k FROM documents)")
 def entities_names(spark, sf_dir):
-    k = T.entities(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", count(k).alias("n"), F.array_join(F.array_sort(k), " ").alias("names"))
+    return documents(spark, sf_dir).select("doc_id", counted(T.entities(F.col("text")), "names"))
 
 
 @query("words", r"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, array_to_string(w[1:5], ' ') AS head FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_''-]+') AS w FROM documents)")
 def words(spark, sf_dir):
-    w = T.words(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", count(w).alias("n"), F.array_join(F.slice(w, 1, 5), " ").alias("head"))
+    row = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.array_join(F.slice(w, 1, 5), " ").alias("head"))
+    return documents(spark, sf_dir).select("doc_id", F.inline(F.array(T.bound(T.words(F.col("text")), row))))
 
 
 @query("summary_words", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_''-]+')[1:36], ' ') AS summary FROM documents")
@@ -194,7 +197,7 @@ def month_dates(spark, sf_dir):
 
 @query("named_entities", rf"SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9_''-]*\b'), lambda x: x NOT IN ({', '.join(repr(s) for s in T.STOP_ENTITIES)})))), ' ') AS names FROM {CALLS_SQL}")
 def named_entities(spark, sf_dir):
-    return calls(spark, sf_dir).select("id", F.array_join(F.array_sort(T.named_entities(F.col("text"))), " ").alias("names"))
+    return calls(spark, sf_dir).select("id", F.array_join(F.sort_array(T.named_entities(F.col("text"))), " ").alias("names"))
 
 
 SIMHASH_SQL = "list_reduce([0] || list_transform(range(0, 32), lambda i: CASE WHEN list_sum(list_transform(h, lambda x: CASE WHEN (x >> CAST(i AS INTEGER)) & 1 = 1 THEN 1 ELSE -1 END)) >= 0 THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END), lambda a, b: a + b)"

@@ -41,6 +41,11 @@ def test_recall_follows_edges_and_budget(memory):
         memory.link(a, "related_to", "nobody")
     art = memory.artifact("plan.txt", memory_id=b)
     recipe = memory.recipe(b, "fly")
+    assert memory.run_recipe(recipe)["status"] == "inert" and memory.run_recipe(recipe, lambda r: r["text"])["result"] == "fly"
+    again = memory.context("Apollo orbit")
+    assert ids(memory.recall(again)) == [a, b]
+    with pytest.raises(ValueError):
+        Memory(memory.spark, memory.path, "other").recall(again)
     near = memory.around(memory.recall("Apollo orbit", limit=1).select("id"))
     assert near["artifacts"].count() == 0 and ids(near["recipes"]) == [recipe]
     assert ids(memory.around(memory.moments().select("id"))["artifacts"]) == [art]

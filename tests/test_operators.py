@@ -296,3 +296,40 @@ def test_index_writes_and_recall(spark):
     assert hits >= 0.9 * total and total == 80
     index = index.delete(rows.filter("id < '0100'").select("id")).upsert(rows.filter("id = '0005'"))
     assert index.rows.count() == 801 and index.reset().rows.count() == 0
+
+
+# Sources and contexts.
+
+
+def test_frames(spark, tmp_path):
+    from strataq.sources import frames as R
+
+    whole = [R.encode(i, 1000 + i, {"family": "moments", "id": i, "payload": {"n": i}}) for i in range(4)]
+    torn = {"torn": whole[3][:-3], "magic": b"XXXX" + whole[3][4:], "bits": whole[3][:-1] + b"!", "none": b"", "short": b"SQ"}
+    for name, tail in torn.items():
+        assert [seq for seq, _, _ in R.decode(b"".join(whole[:3]) + tail + whole[0])][:3] == [0, 1, 2]
+        (tmp_path / f"{name}.log").write_bytes(b"".join(whole[:3]) + tail)
+    rows = R.read_frames(spark, str(tmp_path))
+    assert rows.count() == 15 and R.last_seq(rows) == 2 and R.last_seq(rows.limit(0)) == -1
+    assert rows.filter("seq = 2").select("payload").distinct().first()[0] == '{"n": 2}'
+    again = R.framed(rows.filter("path LIKE '%torn.log'").repartition(1)).collect()
+    assert [r for c in again for r in R.decode(bytes(c["content"]))] == [(i, 1000 + i, {"family": "moments", "id": str(i), "payload": {"n": i}}) for i in range(3)]
+    with pytest.raises(ValueError):
+        R.encode(0, 0, {"x": "y" * (R.MOST + 1)})
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.jsonl").write_text('{"family": "f", "id": 1, "payload": {}}\n{"family": "f", "id": 2}\n{torn\n{"family": "f", "id": 3}\n')
+    assert [r["id"] for r in R.read_json_lines(spark, str(tmp_path / "lines")).orderBy("place").collect()] == ["1", "2"]
+
+
+def test_contexts_and_small_helpers():
+    from strataq.context import QueryContext, scope_of, until_error
+    from strataq.functions import vectors as V
+
+    c = QueryContext("When did Bob call?", "n", "s")
+    assert c.keywords == ("when", "did", "bob", "call") and c.entities == ("When", "Bob") and c.ensure("n", "s") is c
+    for other in (("n", None), ("m", "s")):
+        with pytest.raises(ValueError):
+            c.ensure(*other)
+    assert scope_of() is None and scope_of(a=None) is None and scope_of(a=1, b=2) == scope_of(b=2, a=1) != scope_of(a=1)
+    assert until_error([lambda: 1, lambda: 2])[1] is None and until_error([lambda: 1, lambda: 1 / 0, lambda: 3])[0] == [1]
+    assert V.from_binary(V.to_binary([1.0, -2.5])) == [1.0, -2.5] and V.from_binary(b"123") is None and V.from_binary(None) is None
