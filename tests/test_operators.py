@@ -50,6 +50,11 @@ def test_each_text_is_read_once(spark):
     assert Q.bm25(docs, "!!").select("bm25").distinct().collect()[0][0] == 0.0
 
 
+def test_fingerprints_of_cues(spark):
+    for cue in ("how is Apollo going", "a b", "", "One two three four five"):
+        assert Q.cue_fingerprint(cue) == one(spark, cue, T.simhash)
+
+
 def test_budget_over_groups(spark):
     rng = random.Random(1)
     for budget in (0, 4, 9, 25):
