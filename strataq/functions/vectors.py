@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from strataq.functions.text import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product; 0 if lengths differ or either is null."""
@@ -25,9 +27,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """Unit length; a zero vector stays.  The vector and its length are worked out once."""
+    whole = lambda v: F.transform(v, lambda x: x.cast("double"))
+    unit = lambda v: bound(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+    return bound(whole(a), unit)
 
 
 def sign_bits(a: Column, bits: int) -> Column:
