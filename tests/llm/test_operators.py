@@ -6,8 +6,10 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,6 +335,41 @@ def test_stored_distances_save_work():
     assert tree.computed < 0.6 * 20 * 4000
 
 
+def test_sent_queries_leave_in_bounded_batches():
+    class Asked:
+        def mapInArrow(self, run, schema):
+            return run
+
+    dims, trees = 1 << 16, 4200  # over 2 GB of queries: more than one Arrow column holds
+    cells = mtree.Cells(np.zeros(0, np.int64), np.full((1, dims), 1e6), 1)
+    cells.ids, cells.x = np.array([-1]), cells.x[:0]
+    cells.set([(0, 1.0, 1e9, 0, trees)])
+    query = pa.RecordBatch.from_pydict({"query_id": [50], "mark": [1], "dims": [dims], "packed": [np.full(dims, 1e6).tobytes()]})
+    seen = []
+    for b in mtree.sent(Asked(), SimpleNamespace(value={dims: cells}), 5)(iter([query])):
+        assert b.nbytes < 64 << 20
+        seen += b.column(0).to_pylist()
+    assert seen == list(range(trees))
+
+
+@pytest.mark.parametrize("scale", [1, 3000, 10**6, 10**12])
+def test_queries_that_go_down_together(scale):
+    rng = np.random.default_rng(6)
+    centres = rng.integers(-200, 200, (12, 8))
+    x = (centres[rng.integers(0, 12, 3000)] + rng.integers(-9, 9, (3000, 8))) * scale
+    x[500:900] = x[500]  # a page's worth of ties and more
+    tree = mtree.MTree(np.arange(3000), x)
+    asked = np.arange(0, 3000, 20)
+    whole = x.astype(object) @ x[asked].astype(object).T
+    want = [sorted(((int(whole[j, n]), j) for j in range(3000) if j != i), key=lambda r: (-r[0], r[1]))[:5] for n, i in enumerate(asked.tolist())]
+    for floors in ([None] * len(asked), [w[-1][0] for w in want]):
+        which, scores, ids = tree.search_all(asked, x[asked].astype(np.float64), 5, floors)
+        got = [[] for _ in asked]
+        for i, s, v in zip(which.tolist(), scores.tolist(), ids.tolist(), strict=True):
+            got[i].append((int(s), v))
+        assert got == want
+
+
 # 6: quality
 
 
