@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strataq.functions import text as T
 from strataq.operators import extraction as X
+from strataq.operators.linking import candidates
 
 # Attentions of the rows of an intake, and weights and limits of its links.
 ATTENTION = {"root": 2.0, "chunk": 1.0, "summary": 1.5, "category": 1.1}
@@ -146,23 +147,18 @@ def cross_links(anchors_: DataFrame, others: DataFrame, existing: DataFrame | No
     """(root_id, source_id, target_id, weight): the strongest ``most`` links of each root's anchors to other memories.
 
     Both sides have id, root_id, task_id, keywords, entities and categories.  Only pairs
-    with a keyword, an entity or a category in common are made, as an equi-join on these;
-    a pair that shares none has a score of 0.12 at most, which is below ``least``.  Pairs
-    that ``existing`` links (source_id, target_id) in either direction are left out.
+    with a keyword, an entity or a category in common count; a pair that shares none has
+    a score of 0.12 at most, which is below ``least``.  Pairs that ``existing`` links
+    (source_id, target_id) in either direction are left out.  Pairs are never listed: each
+    block of other memories gives an anchor's strongest ones from its index lists.
     """
-    sets = ("keywords", "entities", "categories")
-    marked = lambda c: F.transform(c, lambda x: F.concat(F.lit(f"{c[0]}:"), x))
-    t = lambda df: df.select("id", "root_id", F.explode(F.concat(*[marked(c) for c in sets])).alias("_t")).distinct()
-    pairs = t(anchors_).toDF("source_id", "root_id", "_t").join(t(others).toDF("target_id", "_r", "_t"), "_t").filter("root_id <> _r")
-    counted = pairs.groupBy("root_id", "source_id", "target_id").agg(*[F.count_if(F.startswith("_t", F.lit(f"{c[0]}:"))).alias(f"_{c}") for c in sets])
-    side = lambda df, k: df.select(F.col("id").alias(f"{k}_id"), F.col("task_id").alias(f"_t{k}"), *[F.size(c).alias(f"_{k}{c}") for c in sets])
-    rows = counted.join(side(anchors_, "source"), "source_id").join(side(others, "target"), "target_id")
-    part = lambda c: F.col(f"_{c}") / F.greatest(F.lit(1), F.col(f"_source{c}") + F.col(f"_target{c}") - F.col(f"_{c}"))
-    score = relationship(part("keywords"), part("entities"), part("categories"), F.coalesce(F.col("_tsource") == F.col("_ttarget"), F.lit(False)))
-    rows = rows.select("root_id", "source_id", "target_id", F.round(score, 6).alias("weight")).filter(F.col("weight") >= least)
+    gone = None
     if existing is not None:
-        both = existing.select("source_id", "target_id").unionByName(existing.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
-        rows = rows.join(both.distinct(), ["source_id", "target_id"], "left_anti")
+        gone = existing.select("source_id", "target_id").unionByName(existing.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+    rows = candidates(anchors_, others, gone, least, most)
+    part = lambda c: F.col(f"_shared_{c}") / F.greatest(F.lit(1), F.col(f"_sizes_{c}") - F.col(f"_shared_{c}"))
+    score = relationship(part("keywords"), part("entities"), part("categories"), F.col("_same"))
+    rows = rows.select("root_id", "source_id", "target_id", F.round(score, 6).alias("weight")).filter(F.col("weight") >= least)
     w = Window.partitionBy("root_id").orderBy(F.desc("weight"), "source_id", "target_id")
     return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 

@@ -338,3 +338,49 @@ def test_contexts_and_small_helpers():
     assert scope_of() is None and scope_of(a=None) is None and scope_of(a=1, b=2) == scope_of(b=2, a=1) != scope_of(a=1)
     assert until_error([lambda: 1, lambda: 2])[1] is None and until_error([lambda: 1, lambda: 1 / 0, lambda: 3])[0] == [1]
     assert V.from_binary(V.to_binary([1.0, -2.5])) == [1.0, -2.5] and V.from_binary(b"123") is None and V.from_binary(None) is None
+
+
+def brute_links(anchors, others, gone, least, most):
+    """The strongest of all pairs, by sets."""
+    out = {}
+    jaccard = lambda x, y: len(set(x) & set(y)) / max(1, len(x) + len(y) - len(set(x) & set(y)))
+    for i, root, task, *a in anchors:
+        for j, other, task_, *b in others:
+            if None in (root, other) or root == other or None in a or None in b or not any(set(x) & set(y) for x, y in zip(a, b, strict=True)):
+                continue
+            k, e, c = (jaccard(x, y) for x, y in zip(a, b, strict=True))
+            weight = round(min(1.0, max(k, e) + 0.25 * c + (0.12 if task is not None and task == task_ else 0.0)), 6)
+            if weight >= least and (i, j) not in gone and (j, i) not in gone:
+                out.setdefault(root, []).append((-weight, i, j))
+    return sorted((root, i, j, -w) for root, rows in out.items() for w, i, j in sorted(rows)[:most])
+
+
+def test_cross_links_by_brute_force(spark):
+    rng = random.Random(3)
+    words = [*(f"w{i}" for i in range(30)), "a\nb", "a", "b", "a\\nb", ""]
+
+    def row(i, root):
+        some = lambda n: rng.sample(words, rng.randint(0, n))
+        return (f"m{i}", root, rng.choice([None, "t1", "t2"]), some(9), some(3), [rng.choice(["user", "other"])])
+
+    others = [row(i, f"r{i % 40}") for i in range(400)]
+    others += [("n1", None, "t1", ["w1"], [], ["user"]), ("n2", "r1", "t1", None, [], ["user"]), ("n3", "r1", "t1", [], [], ["user"])]
+    anchors = [*others[:60], ("m900", "r900", "t1", [], [], []), ("m901", "r901", None, ["nobody"], [], ["user"])]
+    fields = "id string, root_id string, task_id string, keywords array<string>, entities array<string>, categories array<string>"
+    a, o = spark.createDataFrame(anchors, fields), spark.createDataFrame(others, fields)
+    gone = {(x[0], y[0]) for x in anchors[:20] for y in others[::7]}
+    linked = spark.createDataFrame([(x, y) if rng.random() < 0.5 else (y, x) for x, y in sorted(gone)], "source_id string, target_id string")
+    for least, most, held in ((0.24, 20, None), (0.24, 3, linked), (0.05, 500, None)):
+        got = I.cross_links(a, o, held, least, most)
+        want = brute_links(anchors, others, gone if held is not None else set(), least, most)
+        assert sorted((r.root_id, r.source_id, r.target_id, r.weight) for r in got.collect()) == want
+
+
+def test_cross_links_list_no_pairs(spark):
+    """With one category everywhere each pair has a term in common; only each anchor's strongest rows leave a block."""
+    rows = spark.range(4000).select(F.col("id"), F.col("id").alias("root_id"), F.lit("t").alias("task_id"), F.array().cast("array<string>").alias("keywords"), F.array().cast("array<string>").alias("entities"), F.array(F.lit("user")).alias("categories"))
+    out = I.cross_links(rows, rows)
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # a join on terms would make 16 million pairs here
+    assert out.count() == 80_000 and out.filter("target_id > 20").count() == 0
