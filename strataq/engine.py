@@ -342,7 +342,7 @@ class Memory:
     def cue_vector(self, cue: str) -> list[float] | None:
         if self.model is None:
             return None
-        row = E.mean_pooled(self.spark.createDataFrame([("cue", cue)], "id string, text string"), self.model, "id").first()
+        row = E.mean_pooled(self.spark.createDataFrame([("cue", cue)], "id string, text string"), self.model, "id", few=True).first()
         return list(row["vector"]) if row is not None else None
 
     def durable(self, cue: str, limit: int = 10) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 import struct
 
 import numpy as np
@@ -384,3 +385,30 @@ def test_cross_links_list_no_pairs(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan  # a join on terms would make 16 million pairs here
     assert out.count() == 80_000 and out.filter("target_id > 20").count() == 0
+
+
+def test_pooled_means_send_no_texts_to_the_driver(spark, tmp_path):
+    """Texts from a small file, whose exploded words Spark takes for small too."""
+    rows = [(i % 900, f"Word{i} word{i % 7} ſa sa {i % 5}-{i}") for i in range(1000)] + [(5000, None), (5001, ""), (5002, "unknown"), (None, "1 2")]
+    spark.createDataFrame(rows, "id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    made = [(str(i), [float(i), 1.0, -0.5 * i]) for i in range(600)] + [("Sa", [0.0, 3.0, 1.0]), ("▁word3", [2.0, 2.0, 0.5]), ("3", [9.0, None, 1.0]), ("4", [7.0]), ("1", None)]
+    spark.createDataFrame(made, "token string, vector array<double>").write.parquet(str(tmp_path / "model"))
+    docs, model = spark.read.parquet(str(tmp_path / "docs")), spark.read.parquet(str(tmp_path / "model"))
+    out = E.mean_pooled(docs, model, "id")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    vectors, want = {}, {}
+    for t, v in made:
+        vectors.setdefault(t, []).append(v)
+    for i, text in rows:
+        words = {w for w in re.split(r"[^\w]+", (text or "").lower()) if w}
+        forms = {f for w in words for f in (w, " " + w, "Ġ" + w, "▁" + w, w[:1].upper() + w[1:])}
+        want.setdefault(i, []).extend(v for f in sorted(forms) for v in vectors.get(f, []) if v is not None)
+    want = {i: v for i, v in want.items() if v}
+    got = {r["id"]: r["vector"] for r in out.collect()}
+    assert set(got) == set(want) and out.count() == len(want)
+    for i, held in want.items():
+        dims = max(map(len, held))
+        parts = [[v[d] for v in held if d < len(v) and v[d] is not None] for d in range(dims)]
+        mean = np.array([np.mean(p) for p in parts])
+        size = np.sqrt((mean * mean).sum())
+        assert np.allclose(got[i][:dims], mean / size if size else mean), i
