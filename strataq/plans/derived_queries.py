@@ -384,8 +384,8 @@ def frame_roundtrip(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     rows = e.select(F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_type").alias("family"), F.col("user_id").cast("string").alias("id"), F.coalesce("props", F.lit("null")).alias("payload"))
     torn = framed(rows.repartitionByRange("seq")).select(F.hex(F.concat("content", F.lit(b"SQFR torn"))).alias("value"))
-    torn.write.text(path)
-    # Text files hold the frames as digits here, for Spark writes no raw bytes.
+    # A line of a text file holds a file of frames as digits here, for Spark writes no raw bytes; without compression the disk would hold each byte twice.
+    torn.write.text(path, compression="gzip")
     back = spark.read.text(path).select(F.unhex("value").alias("content"))
     return frames_of(back).select("seq", "family", "id", F.get_json_object("payload", "$.k").cast("long").alias("k"))
 

@@ -20,19 +20,31 @@ MAGIC, VERSION = b"SQFR", 1
 HEAD = struct.Struct(">4sBQqII")
 #: Neither a body nor what it says it expands to may be larger.
 MOST = 64 << 20
+#: A writer begins a new file before one gets larger; readers pass rows on after so many, or so many characters of payloads.
+FILE, ROWS, CHARS = 1 << 20, 10_000, 4 << 20
 FRAMES = "path string, seq long, at_ms long, family string, id string, payload string"
+KINDS = {"path": pa.string(), "seq": pa.int64(), "at_ms": pa.int64(), "family": pa.string(), "id": pa.string(), "payload": pa.string()}
+#: json.dumps makes an encoder for each call.
+JSON = json.JSONEncoder(sort_keys=True).encode
+
+
+def deflated(plain: bytes) -> bytes:
+    """A zlib stream whose window is no larger than the record needs: to set up a full one takes longer than to compress a short record."""
+    bits = min(15, max(9, len(plain).bit_length()))
+    packer = zlib.compressobj(wbits=bits, memLevel=min(8, bits - 6))
+    return packer.compress(plain) + packer.flush()
 
 
 def encode(seq: int, at_ms: int, record: dict) -> bytes:
     """One frame of a record (family, id, payload)."""
-    plain = json.dumps(record, sort_keys=True).encode()
+    plain = JSON(record).encode()
     if len(plain) > MOST:
         raise ValueError("a record is larger than a frame may be")
-    body = struct.pack(">I", len(plain)) + zlib.compress(plain)
+    body = struct.pack(">I", len(plain)) + deflated(plain)
     return HEAD.pack(MAGIC, VERSION, seq, at_ms, len(body), zlib.crc32(body)) + body
 
 
-def decode(data: bytes) -> Iterator[tuple[int, int, dict]]:
+def decode(data: bytes | memoryview) -> Iterator[tuple[int, int, dict]]:
     """(seq, milliseconds, record) of all whole frames at the beginning of some bytes."""
     at = 0
     while at + HEAD.size <= len(data):
@@ -62,27 +74,54 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 def frames_of(files: DataFrame) -> DataFrame:
     """The whole frames of rows with a file's bytes (content) and perhaps its path."""
     files = files if "path" in files.columns else files.withColumn("path", F.lit(None).cast("string"))
+    return files.select("path", "content").mapInArrow(unframed, FRAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(name, seq, ms, r.get("family"), None if r.get("id") is None else str(r["id"]), json.dumps(r.get("payload"), sort_keys=True)) for seq, ms, r in decode(data)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in FRAMES.split(", ")])
 
-    return files.select("path", "content").mapInArrow(run, FRAMES)
+def unframed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The frames of batches of files (path, content); their rows leave in batches of a size of their own, however large a file is."""
+    rows, chars = [], 0
 
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], list(KINDS))
 
-def framed(rows: DataFrame) -> DataFrame:
-    """(part, content) with one file's bytes for each partition of rows (seq, at_ms, family, id, payload), in order of seq."""
+    for b in batches:
+        for path, content in zip(b.column(0), b.column(1), strict=True):
+            name = path.as_py()
+            for seq, ms, r in decode(memoryview(content.as_buffer())):
+                payload = JSON(r.get("payload"))
+                rows.append((name, seq, ms, r.get("family"), None if r.get("id") is None else str(r["id"]), payload))
+                chars += len(payload)
+                if len(rows) >= ROWS or chars >= CHARS:
+                    yield batch()
+                    rows, chars = [], 0
+    if rows:
+        yield batch()
+
+
+def framed(rows: DataFrame, most: int = FILE) -> DataFrame:
+    """(part, place, content) with the bytes of the files that each partition of rows (seq, at_ms, family, id, payload) makes, in order of seq.
+
+    A task holds one file at a time: the next one begins before a file gets larger than ``most``,
+    so only one of a single frame can be larger.  A partition without rows makes no file.
+    """
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        out = bytearray()
+        for b in batches:
+            for seq, ms, family, name, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                frame = encode(seq, ms, {"family": family, "id": name, "payload": json.loads(payload)})
+                if out and len(out) + len(frame) > most:
+                    yield bytes(out)
+                    out.clear()
+                out += frame
+        if out:
+            yield bytes(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = b"".join(encode(r["seq"], r["at_ms"], {"family": r["family"], "id": r["id"], "payload": json.loads(r["payload"])}) for b in batches for r in b.to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["content"])
+        for place, content in enumerate(files(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([content], pa.binary())], ["place", "content"])
 
-    return rows.select("seq", "at_ms", "family", "id", "payload").sortWithinPartitions("seq").mapInArrow(run, "content binary").withColumn("part", F.spark_partition_id())
+    return rows.select("seq", "at_ms", "family", "id", "payload").sortWithinPartitions("seq").mapInArrow(run, "place long, content binary").withColumn("part", F.spark_partition_id())
 
 
 def last_seq(frames: DataFrame) -> int:

@@ -327,6 +327,43 @@ def test_frames(spark, tmp_path):
     assert [r["id"] for r in R.read_json_lines(spark, str(tmp_path / "lines")).orderBy("place").collect()] == ["1", "2"]
 
 
+def test_frames_leave_in_files_of_bounded_size(spark):
+    """A partition's frames were once joined into one file, and a file's rows into one batch (frame_roundtrip)."""
+    import json
+
+    import pyarrow as pa
+
+    from strataq.sources import frames as R
+
+    def rows(n):
+        return spark.range(n, numPartitions=1).selectExpr("id AS seq", "id + 5 AS at_ms", "'moments' AS family", "CAST(id AS STRING) AS id", """IF(id = 50, concat('"', array_join(transform(sequence(1, 900), x -> md5(CAST(x AS STRING))), ''), '"'), concat('{"k": ', id, '}')) AS payload""")
+
+    files = R.framed(rows(200), most=1000).orderBy("part", "place").collect()
+    sizes = [len(f["content"]) for f in files]
+    assert len(files) > 10 and [f["place"] for f in files] == list(range(len(files)))
+    assert [n > 1000 for n in sizes].count(True) == 1  # the file of the one record that is larger
+    back = [r for f in files for r in R.decode(bytes(f["content"]) + b"SQFR torn")]
+    assert [(seq, ms, r["id"]) for seq, ms, r in back] == [(i, i + 5, str(i)) for i in range(200)]
+    assert [r["payload"] for _, _, r in back if r["id"] != "50"] == [{"k": i} for i in range(200) if i != 50] and len(back[50][2]["payload"]) == 28800
+    assert R.framed(rows(0)).count() == 0
+    most = R.framed(rows(30_000)).selectExpr("max(length(content))", "count(*)").first()
+    assert R.FILE / 2 < most[0] <= R.FILE and most[1] > 1
+    data = b"".join(R.encode(i, 0, {"family": "f", "id": i, "payload": {"n": i}}) for i in range(25_000))
+    out = list(R.unframed(iter([pa.record_batch([pa.array(["a", "b"]), pa.array([data, data + b"SQ"], pa.binary())], ["path", "content"])])))
+    assert max(b.num_rows for b in out) <= R.ROWS
+    assert [(r["path"], r["seq"], json.loads(r["payload"])["n"]) for b in out for r in b.to_pylist()] == [(p, i, i) for p in "ab" for i in range(25_000)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 100, 511, 512, 40_000, 1 << 20])
+def test_short_windows_are_plain_zlib(n):
+    import zlib
+
+    from strataq.sources import frames as R
+
+    plain = bytes(i * i % 251 for i in range(n))
+    assert zlib.decompress(R.deflated(plain)) == plain
+
+
 def test_contexts_and_small_helpers():
     from strataq.context import QueryContext, scope_of, until_error
     from strataq.functions import vectors as V
