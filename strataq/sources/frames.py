@@ -71,8 +71,16 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return frames_of(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark hand Python about 8 MB at once, unless the session sets a number of its own: files and long payloads would fill the default's 64 MB, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).removesuffix("b") == str(64 << 20):
+        spark.conf.set(name, str(8 << 20))
+
+
 def frames_of(files: DataFrame) -> DataFrame:
     """The whole frames of rows with a file's bytes (content) and perhaps its path."""
+    small_batches(files.sparkSession)
     files = files if "path" in files.columns else files.withColumn("path", F.lit(None).cast("string"))
     return files.select("path", "content").mapInArrow(unframed, FRAMES)
 
@@ -105,6 +113,8 @@ def framed(rows: DataFrame, most: int = FILE) -> DataFrame:
     so only one of a single frame can be larger.  A partition without rows makes no file.
     """
 
+    small_batches(rows.sparkSession)
+
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         out = bytearray()
         for b in batches:

@@ -354,6 +354,15 @@ def test_frames_leave_in_files_of_bounded_size(spark):
     assert [(r["path"], r["seq"], json.loads(r["payload"])["n"]) for b in out for r in b.to_pylist()] == [(p, i, i) for p in "ab" for i in range(25_000)]
 
 
+def test_frames_reach_python_in_small_batches(spark):
+    from strataq.sources import frames as R
+
+    files = spark.range(40, numPartitions=1).selectExpr("CAST(repeat('x', 1 << 20) AS BINARY) AS content")
+    assert R.frames_of(files).count() == 0
+    sizes = files.mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 40 and max(r["n"] for r in sizes) <= 10
+
+
 @pytest.mark.parametrize("n", [0, 1, 100, 511, 512, 40_000, 1 << 20])
 def test_short_windows_are_plain_zlib(n):
     import zlib
